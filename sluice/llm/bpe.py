@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -38,14 +39,13 @@ class Codec:
             begin = found.start()
         yield text[begin:]
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= PART:
-            return self.tiktoken.encode_ordinary(text)
-        return [i for part in self.parts(text) for i in self.tiktoken.encode_ordinary(part)]
+    def encode(self, text: str) -> np.ndarray:
+        """The ids, 4 bytes each."""
+        return np.concatenate([np.array(self.tiktoken.encode_ordinary(part), np.int32) for part in self.parts(text)])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         """The raw bytes: ids may end within a character."""
-        return self.tiktoken.decode_bytes(ids)
+        return self.tiktoken.decode_bytes(list(ids))
 
 
 def codec(ranks: str, pattern: str) -> Codec:
@@ -89,18 +89,22 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFra
     return df.mapInArrow(batches, schema)
 
 
-def _digest(c: Codec, text: str) -> tuple[int, str, str]:
-    """n_tokens, ids_sha256, decoded_sha256 of the text, part by part."""
-    n, ids_hash, bytes_hash, name = 0, hashlib.sha256(), hashlib.sha256(), c.decimal.__getitem__
+def _digest(c: Codec, text: str, keep: bool = False) -> tuple:
+    """n_tokens, ids_sha256, decoded_sha256 of the text, part by part, and the ids if they are kept."""
+    n, kept, ids_hash, bytes_hash, name = 0, [], hashlib.sha256(), hashlib.sha256(), c.decimal.__getitem__
     for part in c.parts(text):
         ids = c.tiktoken.encode_ordinary(part)
         if ids:
             ids_hash.update(((b"," if n else b"") + ",".join(map(name, ids)).encode()))
         bytes_hash.update(c.decode(ids))
         n += len(ids)
-    return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+        if keep:
+            kept.append(np.array(ids, np.int32))
+    found = (n, ids_hash.hexdigest(), bytes_hash.hexdigest())
+    return (*found, np.concatenate(kept)) if keep else found
 
 
-def digest(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of each whole text, encoded and decoded again; null is empty. Map only: ids stay in the worker."""
-    return _rows(df, text, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, _digest, ranks, pattern)
+def digest(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of each whole text, encoded and decoded again, and with the ids themselves if asked for; null is empty. Map only. df must not have columns of these names."""
+    made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if ids else {})
+    return _rows(df, text, made, lambda c, x: _digest(c, x, ids), ranks, pattern)

@@ -19,16 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests. Checkpoints go there too."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder; its lineage ends there."""
-    ready_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,6 +52,9 @@ def stream(seed: int, n: int) -> np.ndarray:
 _BYTE = stream(1, 256)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
+# For folding: what isn't an ASCII letter or digit, nor a part of a longer character, separates words.
+_APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _P = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -58,14 +62,23 @@ _powers: list[np.ndarray] = []
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, SPAN + 1)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, p % 2**64)]).astype(np.uint64)) for p in (_P, pow(_P, -1, 2**64))]
+        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, p, np.uint64))) for p in (_P, pow(_P, -1, 2**64))]
     return _powers[0], _powers[1]
 
 
-def _span(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _folded(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case."""
+    out = _LOWER[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
+    out[latin] += 32
+    return out
+
+
+def _span(data: np.ndarray, first: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word in data; first: where documents begin."""
     n = len(data)
-    space = _SPACE[data]
+    space = apart[data]
     edge = np.zeros(n + 1, bool)
     edge[first] = True
     edge[0] = edge[n] = True
@@ -89,28 +102,31 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array, span: int = SPAN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, span: int = SPAN, fold: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For consecutive rows lo to hi of a string column: the words' 64-bit hashes and the rows' word offsets (hi - lo + 1 of them).
 
-    Words are runs of bytes other than ASCII white space. Rows are taken together up to span bytes; a longer row is hashed in parts that end at white space, so that no more than a span (or one longer word) is expanded at once.
+    Words are runs of bytes other than ASCII white space; with fold, lower-cased runs of letters and digits. Rows are taken together up to span bytes; a longer row is hashed in parts that end at white space, so that no more than a span (or one longer word) is expanded at once.
     """
     data, offsets = text_bytes(column)
+    apart = _APART if fold else _SPACE
+    if fold:
+        data = _folded(data)
     lo, rows = 0, len(offsets) - 1
     while lo < rows:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + span, "right")) - 1)
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if len(part) <= span:
-            hashes, starts, _ = _span(part, at[:-1][np.diff(at) > 0])
+            hashes, starts, _ = _span(part, at[:-1][np.diff(at) > 0], apart)
             yield lo, hi, hashes, np.searchsorted(starts, at)
         else:
             found, begin = [], 0
             while begin < len(part):
                 end = min(len(part), begin + span)
-                while end < len(part) and not len(gap := np.flatnonzero(_SPACE[part[begin:end]])):
+                while end < len(part) and not len(gap := np.flatnonzero(apart[part[begin:end]])):
                     end = min(len(part), end + span)
                 if end < len(part):
                     end = begin + int(gap[-1]) + 1
-                found.append(_span(part[begin:end], np.zeros(1, np.int64))[0])
+                found.append(_span(part[begin:end], np.zeros(1, np.int64), apart)[0])
                 begin = end
             hashes = np.concatenate(found)
             yield lo, hi, hashes, np.array([0, len(hashes)])
