@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut, mix, partitions, shingles, stream, words
 
 TREES, LONGEST, RECALL = 16, 6, 0.999
-#: Members of one centre that a task compares.
-BLOCK = 512
+#: Members and bytes of shingles that a block holds, and columns of shingles that are multiplied at once.
+BLOCK, BYTES, WIDTH = 512, 8 << 20, 4096
 
 
 def shortest(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
@@ -55,17 +55,18 @@ def _sketches(trees: int, longest: int, size: int):
             for lo, hi, hashes, offsets in words(batch.column(1)):
                 full = np.flatnonzero(np.diff(offsets) > 0)
                 own = ids.slice(lo, hi - lo)
-                vid = [None] * (hi - lo)
-                labels = [None] * (hi - lo)
+                vid, labels = [None] * (hi - lo), [None] * (hi - lo)
+                size_of = np.zeros(hi - lo, np.int64)
                 if len(full):
                     at = np.append(offsets[:-1][full], offsets[-1])
                     grams, where = shingles(hashes, at, size)
+                    size_of[full] = np.diff(where)
                     found = signatures(grams, where, trees * longest).astype(">u2").tobytes()
                     names, row = _identity(hashes, at).tobytes(), trees * longest * 2
                     for i, r in enumerate(full):
                         vid[r] = names[16 * i : 16 * i + 16]
                         labels[r] = found[row * i : row * i + row]
-                yield pa.RecordBatch.from_arrays([own, pa.array(vid, pa.binary()), pa.array(labels, pa.binary())], ["id", "vid", "labels"])
+                yield pa.RecordBatch.from_arrays([own, pa.array(vid, pa.binary()), pa.array(labels, pa.binary()), pa.array(size_of)], ["id", "vid", "labels", "grams"])
 
     return run
 
@@ -86,33 +87,94 @@ def _shingle_sets(size: int):
     return run
 
 
-def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by a and salt, a's own set (b null) first."""
-    at, own = None, None
-    for batch in it:
-        a_s, salts, b_s, sets = (batch.column(i) for i in range(4))
-        left, right, same = [], [], []
-        for i in range(batch.num_rows):
-            a, b, grams = (a_s[i].as_py(), salts[i].as_py()), b_s[i].as_py(), np.frombuffer(sets[i].as_py(), np.uint64)
-            if b is None:
-                at, own = a, grams
-            elif a == at:
-                small, large = (own, grams) if len(own) < len(grams) else (grams, own)
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                left.append(a[0])
-                right.append(b)
-                same.append(both / (len(own) + len(grams) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(same, pa.float64())], ["a", "b", "similarity"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, a != b, distinct, a the more frequent) with their exact similarity; a's set is sent once for each block of its partners."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    centres = salts.join(sets, F.col("a") == F.col("vid")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "grams")
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), "b")
-    members = members.join(sets, F.col("b") == F.col("vid")).select("a", "salt", "b", "grams")
-    dealt = centres.unionByName(members).repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "b")
-    return dealt.mapInArrow(_compare, "a binary, b binary, similarity double")
+def _shared(lists: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each pair of lists (sorted, without repeats) has in common."""
+    m = len(lists)
+    _, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    out = np.full((m, m), float((count == m).sum()), np.float32)
+    some = (count > 1) & (count < m)
+    place = np.cumsum(some) - 1
+    row = np.repeat(np.arange(m), [len(x) for x in lists])
+    kept = some[column]
+    row, column = row[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(some.sum()), WIDTH):
+        lo, hi = np.searchsorted(column, [a, a + WIDTH])
+        part = np.zeros((m, WIDTH), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        out += part @ part.T
+    return out
+
+
+def _linked(threshold: float):
+    """Rows come sorted by unit. Of each unit all pairs of its two blocks are compared; each member with links gives a row."""
+
+    def solve(key: tuple, rows: list) -> tuple[list, list, list]:
+        centre, i, j = key
+        m = len(rows)
+        block = np.array([r[1] for r in rows])
+        size = np.array([len(r[4]) // 8 for r in rows])
+        both = _shared([np.frombuffer(r[4], np.uint64) for r in rows])
+        links = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+        links &= (block[:, None] != block[None, :]) if i != j else ~np.eye(m, dtype=bool)
+        if not links.any():
+            return [], [], []
+        root, before = np.arange(m), None
+        while before is None or (root != before).any():
+            before = root
+            root = np.minimum(root, np.where(links, root[None, :], m).min(1))
+        lower = [np.array(sorted(x for x in r[3] if x < centre), np.int64) for r in rows]
+        if sum(len(x) > 0 for x in lower) > 1:  # a pair counts where its least common centre is
+            links &= _shared(lower) == 0
+        weight = links @ np.array([r[2] for r in rows], np.int64)
+        there = np.flatnonzero((weight > 0) | (root != np.arange(m)))
+        return [rows[k][0] for k in there], [rows[root[k]][0] for k in there], weight[there].tolist()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], ([], [], [])
+
+        def flush() -> None:
+            if len(rows) > 1:
+                for to, new in zip(out, solve(key, rows), strict=True):
+                    to.extend(new)
+            rows.clear()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["vid", "root", "weight"])
+
+        for batch in it:
+            columns = [batch.column(k) for k in range(8)]
+            for r in range(batch.num_rows):
+                own = tuple(columns[k][r].as_py() for k in range(3))
+                if own != key:
+                    flush()
+                    key = own
+                rows.append([columns[k][r].as_py() for k in (3, 4, 5, 6, 7)])
+            yield made()
+            out = ([], [], [])
+        flush()
+        yield made()
+
+    return run
+
+
+def _compared(stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(vid, root, weight) for the members of stars (centre, vid): all pairs that share a centre are compared exactly, in memory. weight: rows of the texts linked; root: another vertex of the same component.
+
+    Members of a centre are dealt into blocks, and each pair of blocks is a unit of its own, so a centre with any number of members is spread over tasks that each hold two blocks. A pair that shares several centres counts at the least one.
+    """
+    spark = stars.sparkSession
+    named = stars.select(F.xxhash64("centre").alias("centre"), "vid")
+    of = named.groupBy("vid").agg(F.collect_set("centre").alias("centres"))  # one for each tree and length at most
+    members = cut(named.distinct().join(sets.select("vid", "copies", F.length("grams").alias("bytes")), "vid"))
+    blocks = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks")).where("n > 1")
+    placed = members.join(blocks, "centre").select("centre", "vid", "blocks", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("blocks").cast("long")).cast("int").alias("block"))
+    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
+    units = placed.select("centre", "vid", "block", unit.alias("unit")).select("centre", "unit.i", "unit.j", "vid", "block")
+    full = units.join(sets.join(of, "vid"), "vid").select("centre", "i", "j", "vid", "block", "copies", "centres", "grams")
+    dealt = full.repartition(partitions(spark), "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return dealt.mapInArrow(_linked(threshold), "vid binary, root binary, weight long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -138,62 +200,32 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words, itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
 
     1. Signatures of trees x longest MinHash values; each tree's trie is its labels in sorted order. Prefixes of the labels are matched from the longest on and shortened until a pair at the threshold meets in some tree with probability recall; this is the only loss.
-    2. In each bucket of equal prefixes every member is compared exactly with the least member (linear in the bucket).
-    3. A vertex of similarity (1 + threshold) / 2 or more to such a centre follows the most similar one. Jaccard distance is a metric, so followers of one centre are all linked: they are counted, not paired.
-    4. Members of a bucket that follow different centres are paired and compared exactly, so no link between different texts is lost.
+    2. Members of a bucket of equal prefixes all get its least member as a centre: linear in the bucket, and two members of any bucket share a centre.
+    3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sketched = cut(base.mapInArrow(_sketches(trees, longest, size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary"))
+    sketched = cut(base.mapInArrow(_sketches(trees, longest, size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
     blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
     # The forest: rows of (tree, prefix) at the shortest length that meet there; longer prefixes only of those.
     d = shortest(threshold, trees, longest, recall)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = vertices.select("vid", "labels", tree.alias("tree")).select("vid", "tree", F.expr(f"substring(labels, tree * {2 * longest} + 1, {2 * longest})").alias("label"))
-    rows = rows.withColumn("prefix", F.expr(f"substring(label, 1, {2 * d})"))
-    met = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("centre")).where("m > 1")
-    rows = cut(rows.join(met, ["tree", "prefix"]).select("tree", "prefix", "vid", "label", "centre"))
-    stars = rows.select(F.col("centre").alias("a"), F.col("vid").alias("b"))
-    for length in range(longest, d, -1):
-        longer = rows.withColumn("own", F.expr(f"substring(label, 1, {2 * length})"))
-        centres = longer.groupBy("tree", "own").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("a")).where("m > 1").select("tree", "own", "a")
-        stars = stars.unionByName(longer.join(centres, ["tree", "own"]).select("a", F.col("vid").alias("b")))
-    stars = cut(stars.where("a != b").distinct())
-
-    wanted = rows.select("vid").distinct().join(vertices.select("vid", F.col("least").alias("id")), "vid").select("id").distinct()
-    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_shingle_sets(size), "vid binary, grams binary").join(rows.select("vid").distinct(), "vid", "left_semi")
-    sets = cut(sets.groupBy("vid").agg(F.first("grams").alias("grams")))
-    star_links = cut(_verified(stars, sets).where(F.col("similarity") >= threshold))
-
-    close = star_links.where(F.col("similarity") >= (1 + threshold) / 2)
-    follows = cut(close.groupBy(F.col("b").alias("vid")).agg(F.max_by("a", F.struct("similarity", "a")).alias("centre")))
-    at = rows.select("tree", "prefix", "vid").join(follows, "vid", "left").select("tree", "prefix", "vid", F.coalesce("centre", "vid").alias("centre"))
-    at = cut(at)
-    sizes = at.groupBy("tree", "prefix", "centre").agg(F.count(F.lit(1)).alias("m")).groupBy("tree", "prefix").agg(F.max_by("centre", F.struct("m", "centre")).alias("main"), F.count(F.lit(1)).alias("centres")).where("centres > 1")
-    mixed = at.join(sizes, ["tree", "prefix"])
-    others = mixed.where("centre != main").select("tree", "prefix", F.col("vid").alias("x"), F.col("centre").alias("cx"))
-    every = mixed.select("tree", "prefix", F.col("vid").alias("y"), F.col("centre").alias("cy"))
-    crossed = others.join(every, ["tree", "prefix"]).where("cx != cy AND x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    crossed = cut(crossed.join(stars, ["a", "b"], "left_anti"))
-    links = star_links.select("a", "b")
-    if not crossed.isEmpty():
-        links = links.unionByName(cut(_verified(crossed, sets).where(F.col("similarity") >= threshold)).select("a", "b"))
-
-    # Links of each vertex, in rows: explicit ones, except between followers of one centre, and all followers of its centre.
-    weight = vertices.select("vid", "copies")
-    shared = follows.join(weight, "vid").groupBy("centre").agg(F.sum("copies").alias("flock"))
-    ends = links.union(links.select("b", "a")).toDF("vid", "other")
-    ends = ends.join(follows, "vid", "left").withColumnRenamed("centre", "c1").join(follows.select(F.col("vid").alias("other"), F.col("centre").alias("c2")), "other", "left")
-    ends = ends.where("c1 IS NULL OR c2 IS NULL OR c1 != c2")
-    explicit = ends.join(weight.select(F.col("vid").alias("other"), F.col("copies").alias("weight")), "other").groupBy("vid").agg(F.sum("weight").alias("explicit"))
-    roots = components(links).withColumnRenamed("v", "vid")
-    named = vertices.select("vid", "least", "copies").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    counted = named.join(explicit, "vid", "left").join(follows, "vid", "left").join(shared, "centre", "left")
-    n_links = F.coalesce("explicit", F.lit(0)) + F.coalesce(F.col("flock") - F.col("copies"), F.lit(0)) + F.col("copies") - 1
-    counted = cut(counted.select("vid", "root", "least", F.col("copies").alias("n_copies"), n_links.cast("long").alias("n_links")))
+    rows = vertices.select("vid", "labels", tree.alias("tree")).select("vid", "tree", F.expr(f"substring(labels, tree * {2 * longest} + 1, {2 * d})").alias("prefix"))
+    met = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("centre")).where("m > 1").drop("m")
+    stars = cut(rows.join(met, ["tree", "prefix"]).select("centre", "vid").distinct())
+
+    wanted = cut(stars.select("vid").distinct().join(vertices.select("vid", F.col("least").alias("id"), "copies"), "vid"))
+    texts = base.join(wanted.select("id").distinct(), base["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+    sets = texts.mapInArrow(_shingle_sets(size), "vid binary, grams binary").dropDuplicates(["vid"])
+    sets = cut(sets.join(wanted.select("vid", "copies"), "vid"))
+    found = cut(_compared(stars, sets, threshold))
+
+    linked = found.groupBy("vid").agg(F.sum("weight").alias("linked"))
+    roots = components(found.select(F.col("vid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "vid")
+    counted = vertices.select("vid", "least", "copies").join(roots, "vid", "left").join(linked, "vid", "left")
+    counted = cut(counted.select("vid", F.coalesce("root", "vid").alias("root"), "least", F.col("copies").alias("n_copies"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")))
     classes = counted.groupBy("root").agg(F.min("least").alias("class_id"))
     result = counted.join(classes, "root").select("vid", "class_id", "n_links", "n_copies")
-    found = sketched.where("vid IS NOT NULL").select("id", "vid").join(result, "vid").select("id", "class_id", "n_links", "n_copies")
-    return found.unionByName(blank).withColumnRenamed("id", id_col)
+    out = sketched.where("vid IS NOT NULL").select("id", "vid").join(result, "vid").select("id", "class_id", "n_links", "n_copies")
+    return out.unionByName(blank).withColumnRenamed("id", id_col)

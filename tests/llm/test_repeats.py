@@ -134,7 +134,7 @@ def test_jaccard_join(spark):
 
 
 def test_hot_near_copies(spark, monkeypatch):
-    """A third of the rows in one group, all pairs linked; centres are compared in small blocks."""
+    """A third of the rows in one group, all pairs linked; compared in small blocks."""
     monkeypatch.setattr(near, "BLOCK", 8)
     base = [f"w{k}" for k in range(300)]
     texts = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(60)] + [" ".join(f"x{k}-{j}" for j in range(20)) for k in range(60)] + ["same words here and there"] * 60
