@@ -12,6 +12,8 @@ from .common import cut, partitions
 
 #: The characters that normalisation deletes.
 DROPPED = " \t\n\x0b\x0c\r"
+#: Characters of a text by which it is dealt out and that its splitters hold.
+HEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -30,7 +32,7 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", share
 
     Texts are equal when their normalised forms are equal byte for byte; null counts as empty, so null and blank texts are one group. Of each group the row with the most code points in the original text stays, then the one of the smallest id (a null id last); of fully repeated rows exactly one is kept. Columns of df must not be named keep_id, group_size, kept, text_sha256 or begin with two underscores.
 
-    Sampled splitters range-partition the normalised text, each partition is sorted externally, and a window compares neighbours in full. A group of copies so large that it would fill a good part of a partition is found by its fingerprint's count beforehand; such copies are counted and their best row is found by pre-aggregation on the map side, and only one row a task travels to the sort. There the whole normalised texts are compared, so a colliding fingerprint joins nothing. Members of large groups get the result by a broadcast of one row per large group, of which there are fewer than share * partitions.
+    Sampled splitters range-partition the normalised text by its first HEAD characters and then its fingerprint, so a sample of splitters is small however long texts are, and texts that only begin alike still spread. Each partition is sorted externally by these and the whole normalised text, and a window compares neighbours in full. A group of copies so large that it would fill a good part of a partition is found by its fingerprint's count beforehand; such copies are counted and their best row is found by pre-aggregation on the map side, and only one row a task travels to the sort. There the whole normalised texts are compared, so a colliding fingerprint joins nothing. Members of large groups get the result by a broadcast of one row per large group, of which there are fewer than share * partitions.
     """
     norm, code_points = normalised(F.col(text)), F.coalesce(F.length(text), F.lit(0))
     prints = hot_prints(df, F.xxhash64(norm), share)
@@ -40,10 +42,12 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", share
 
     def sorted_groups(rows: DataFrame) -> DataFrame:
         """rows has __norm, __len, __weight and the id."""
-        same = Window.partitionBy("__norm").orderBy(F.col("__len").desc(), missing, F.col(id_col))
+        same = Window.partitionBy("__head", "__print", "__norm").orderBy(F.col("__len").desc(), missing, F.col(id_col))
         every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return (
-            rows.repartitionByRange(partitions(df.sparkSession), "__norm")
+            rows.withColumn("__head", F.substring("__norm", 1, HEAD))
+            .withColumn("__print", F.xxhash64("__norm"))
+            .repartitionByRange(partitions(df.sparkSession), "__head", "__print")
             .withColumn("keep_id", F.first(id_col).over(every))
             .withColumn("group_size", F.sum("__weight").over(every))
             .withColumn("kept", F.row_number().over(same) == 1)
