@@ -18,7 +18,7 @@ from .suffixes import HELD, repeated
 
 LENGTH, ANCHOR = 200, 32
 #: Bytes of text that are searched at once for anchors, and that a shard sorts at once if its anchors allow.
-SPAN, SHARD = 1 << 19, 1 << 22
+SPAN, SHARD = 1 << 19, 1 << 20
 #: Places of a table by which documents that have something to fetch are told from most others: 1 MB, whatever the input.
 SLOTS = 1 << 23
 
@@ -181,10 +181,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD) -> D
     """
     spark = docs.sparkSession
     found = docs.mapInArrow(_find(length, min(ANCHOR, length)), "id long, print long, i int, j int, anchor long, stretch long")
-    counts = found.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("anchor", "kinds")
-    counted = counts.join(several, "anchor").select(F.col("anchor").alias("a"), F.col("stretch").alias("s"), "n", "kinds")
-    met = cut(found.join(counted, (F.col("anchor") == F.col("a")) & (F.col("stretch") == F.col("s"))).drop("a", "s"))
+    several = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
+    met = cut(found.join(several, "anchor"))
+    counts = met.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    counted = cut(counts.join(kinds, "anchor"))
+    met = met.join(counted, ["anchor", "stretch"])
     whole = met.where("n > 1").select("id", "print", F.col("i").alias("begin"), (F.col("j") + length).alias("end"))
     one_each = met.where("kinds > 1").dropDuplicates(["anchor", "stretch"])
     wanted = cut(one_each.groupBy("id", "print").agg(F.collect_list(F.struct("i", "j", "anchor", "n")).alias("wanted")))  # as many as a document has stretches
