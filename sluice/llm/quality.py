@@ -126,7 +126,7 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 5) ->
         return Rules(float(np.log(y.mean() / (1 - y.mean()))), ())
     a = np.stack([holds(p) for p in kept], 1).astype(float)
     # Accelerated proximal gradient; the intercept is not penalised.
-    step = 4.0 / (np.linalg.norm(a, 2) ** 2 / len(y) + 1)
+    step = 4.0 / (float(np.linalg.eigvalsh(a.T @ a)[-1]) / len(y) + 1)
     w = z = np.zeros(a.shape[1])
     b = c = float(np.log(y.mean() / (1 - y.mean())))
     t = 1.0
@@ -164,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 def score(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5), in expressions only and without a shuffle. Any text has a score, null and empty ones that of an empty text. docs must not have columns of these names."""
     found = statistics(F.col(text))
-    packed = docs.withColumn("__stats", F.struct(*(c.alias(k) for k, c in found.items())))
+    # Always true, but the planner can't know: it would else copy each statistic into every rule, and again into filters on the score.
+    packed = docs.withColumn("__stats", F.when(F.rand(0) >= 0, F.struct(*(c.alias(k) for k, c in found.items()))))
     open_ = packed.select(*docs.columns, *(F.col(f"__stats.{k}").alias(f"__{k}") for k in found))
     own = Rules(rules.base, tuple(Rule(tuple((f"__{n}", a, b) for n, a, b in r.terms), r.weight) for r in rules.rules))
     scored = open_.withColumn("score", own.score())
