@@ -18,7 +18,7 @@ from .suffixes import HELD, repeated
 
 LENGTH, ANCHOR = 200, 32
 #: Bytes of text that are searched at once for anchors, and that a shard sorts at once if its anchors allow.
-SPAN, SHARD = 1 << 19, 1 << 20
+SPAN, SHARD = 1 << 19, 1 << 19
 #: Places of a table by which documents that have something to fetch are told from most others: 1 MB, whatever the input.
 SLOTS = 1 << 23
 
@@ -157,6 +157,16 @@ def _some(sent, yes: bool):
     return run
 
 
+def _untouched(sent):
+    """What _some leaves aside, with its figures, in one pass."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _some(sent, False)(it):
+            yield from _digests(iter([batch.select([0, 2])]))
+
+    return run
+
+
 def _spans(spans: list) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -235,7 +245,7 @@ def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", le
     dealt = docs.select("id", "print", "text", slot)
     kind = "id long, print long, text string"
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    clean = dealt.mapInArrow(_some(sent, False), kind).select("id", "text").mapInArrow(_digests, schema)
+    clean = dealt.mapInArrow(_untouched(sent), schema)
     some = dealt.mapInArrow(_some(sent, True), kind)
     same = some["id"].eqNullSafe(spans["id"]) & (some["print"] == spans["print"])
     touched = some.join(spans, same, "left").select(some["id"], "text", "spans").mapInArrow(_digests, schema)
