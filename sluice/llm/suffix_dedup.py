@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD) -> D
     slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
     some = docs.select("id", "print", "text", slot).mapInArrow(_some(_slots(wanted), True), "id long, print long, text string")
     same = some["id"].eqNullSafe(wanted["id"]) & (some["print"] == wanted["print"])
-    texts = some.dropDuplicates(["id", "print"]).join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
+    texts = some.join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
     stretches = texts.mapInArrow(_fetch(length), "id long, print long, i int, anchor long, n long, bytes binary")
     dealt = stretches.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     sorted_ = dealt.mapInArrow(_sort(length, held), "id long, print long, begin int, end int")
