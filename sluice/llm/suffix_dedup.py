@@ -19,6 +19,10 @@ from .suffixes import HELD, repeated
 LENGTH, ANCHOR = 200, 32
 #: Bytes of text that are searched at once for anchors, and that a shard sorts at once if its anchors allow.
 SPAN, SHARD = 1 << 19, 1 << 19
+#: Bytes of differing stretches around one anchor beyond which its strings are dealt out one by one instead of sorted in one shard.
+HOT = 1 << 23
+#: Stretches whose strings are hashed at once.
+ROWS = 4096
 #: Places of a table by which documents that have something to fetch are told from most others: 1 MB, whatever the input.
 SLOTS = 1 << 23
 
@@ -103,6 +107,29 @@ def _fetch(length: int):
     return run
 
 
+def _strings(length: int):
+    """Like _fetch, then each stretch's strings: a row for each start, with the string's hash."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _fetch(length)(it):
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                data, offsets = text_bytes(batch.column(5))
+                power, inverse = _tables(len(data) + 1)
+                total = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+                per = np.diff(offsets) - length + 1
+                row = np.repeat(np.arange(batch.num_rows), per)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+                at = offsets[row] + step
+                string = mix((total[at + length] - total[at]) * inverse[at])
+                own = pa.array(row)
+                begin = pa.array((np.asarray(batch.column(2))[row] + step).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), begin, batch.column(3).take(own), batch.column(4).take(own), pa.array(string.view(np.int64))], ["id", "print", "begin", "anchor", "n", "string"])
+
+    return run
+
+
 def _sort(length: int, held: int):
     """Rows sorted by anchor: those that share one are sorted together, with those of other anchors up to SHARD bytes."""
 
@@ -181,34 +208,43 @@ def _documents_of(df: DataFrame, text: str, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD) -> DataFrame:
+def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, print, text, wanted) for documents that hold a stretch of rows: wanted has all of theirs, as many as a document has stretches."""
+    wanted = cut(rows.groupBy("id", "print").agg(F.collect_list(F.struct("i", "j", "anchor", "n")).alias("wanted")))
+    slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
+    some = docs.select("id", "print", "text", slot).mapInArrow(_some(_slots(wanted), True), "id long, print long, text string")
+    same = some["id"].eqNullSafe(wanted["id"]) & (some["print"] == wanted["print"])
+    return some.join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, hot: int = HOT) -> DataFrame:
     """(id, print, spans) for documents (id, print, text) that have bytes to remove: spans is an array of (begin, end) in UTF-8 bytes, unmerged.
 
     1. Strings of length bytes that share an anchor are a stretch. Equal stretches, such as those of copies, are counted by their hash; all of what they cover repeats.
     2. Of each anchor with stretches that differ, one of each is fetched and sorted: external induced sorting within shards by anchor; neighbours that have length bytes in common repeat.
+    3. An anchor whose differing stretches exceed hot bytes, such as a phrase that a third of all documents hold in different surroundings, would be one task's shard. Its strings are dealt out by their hash instead and counted, so they spread over all tasks.
 
-    A hot stretch is counted on the map side and joined back by a join that can be split. A hot anchor with many different stretches is one shard, sorted on disk beyond held numbers.
+    A hot stretch is counted on the map side and joined back by a join that can be split. A shard has fewer than hot bytes more than SHARD; what is beyond held numbers of it is on disk.
     """
     spark = docs.sparkSession
     found = docs.mapInArrow(_find(length, min(ANCHOR, length)), "id long, print long, i int, j int, anchor long, stretch long")
     several = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
     met = cut(found.join(several, "anchor"))
-    counts = met.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"))
-    kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    counted = cut(counts.join(kinds, "anchor"))
+    counts = met.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), (F.max(F.col("j") - F.col("i")) + length).alias("size"))
+    kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes"))
+    counted = cut(counts.drop("size").join(kinds, "anchor"))
     met = met.join(counted, ["anchor", "stretch"])
     whole = met.where("n > 1").select("id", "print", F.col("i").alias("begin"), (F.col("j") + length).alias("end"))
     one_each = met.where("kinds > 1").dropDuplicates(["anchor", "stretch"])
-    wanted = cut(one_each.groupBy("id", "print").agg(F.collect_list(F.struct("i", "j", "anchor", "n")).alias("wanted")))  # as many as a document has stretches
-    slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
-    some = docs.select("id", "print", "text", slot).mapInArrow(_some(_slots(wanted), True), "id long, print long, text string")
-    same = some["id"].eqNullSafe(wanted["id"]) & (some["print"] == wanted["print"])
-    texts = some.join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
-    stretches = texts.mapInArrow(_fetch(length), "id long, print long, i int, anchor long, n long, bytes binary")
+    stretches = _wanted(docs, one_each.where(F.col("bytes") <= hot)).mapInArrow(_fetch(length), "id long, print long, i int, anchor long, n long, bytes binary")
     dealt = stretches.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    sorted_ = dealt.mapInArrow(_sort(length, held), "id long, print long, begin int, end int")
-    spans = whole.distinct().unionByName(sorted_).groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return spans
+    spans = whole.distinct().unionByName(dealt.mapInArrow(_sort(length, held), "id long, print long, begin int, end int"))
+    if not counted.where(F.col("bytes") > hot).isEmpty():
+        strings = _wanted(docs, one_each.where(F.col("bytes") > hot)).mapInArrow(_strings(length), "id long, print long, begin int, anchor long, n long, string long")
+        again = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", "string")
+        single = strings.where("n = 1").join(again, ["anchor", "string"], "left_semi")  # others are whole
+        spans = spans.unionByName(single.select("id", "print", "begin", (F.col("begin") + length).alias("end")))
+    return spans.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,13 +269,13 @@ def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_texts, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, held: int = HELD) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, held: int = HELD, hot: int = HOT) -> DataFrame:
     """One row per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in another row or in the same one; strings are compared as UTF-8 bytes, overlap freely and never cross rows. n_spans counts maximal removed runs, kept (binary) is what remains, concatenated; it need not be valid UTF-8. null and empty texts have no bytes. Repeated rows repeat each other, so nothing of them that is long enough stays. id_col is a number, not necessarily unique: rows are told apart by it and the text. Other columns are ignored.
     """
     docs = _documents_of(df, text, id_col)
-    spans = cut(repeated_spans(docs, length, held))
+    spans = cut(repeated_spans(docs, length, held, hot))
     sent = _slots(spans)
     slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
     dealt = docs.select("id", "print", "text", slot)

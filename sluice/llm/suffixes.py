@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Numbers that an array or a queue holds in memory; larger ones are on disk.
-HELD = 1 << 24
+HELD = 1 << 22
 
 
 def numbers(n: int, held: int = HELD, kind=np.int64) -> np.ndarray:

@@ -39,8 +39,9 @@ def _removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "held", "span"), [(12, 1 << 24, 1 << 19), (12, 50, 64), (40, 1 << 24, 100)])
-def test_repeats(spark, monkeypatch, length, held, span):
+@pytest.mark.parametrize(("length", "held", "span", "hot"), [(12, 1 << 24, 1 << 19, 1 << 23), (12, 50, 64, 1 << 23), (40, 1 << 24, 100, 1 << 23), (12, 1 << 24, 64, 0), (40, 1 << 24, 1 << 19, 300)])
+def test_repeats(spark, monkeypatch, length, held, span, hot):
+    """hot: 0 deals out the strings of all anchors, 300 those of some."""
     monkeypatch.setattr(suffix_dedup, "SPAN", span)
     rng = random.Random(length)
     passages = ["".join(rng.choice("abcé ") for _ in range(rng.randint(5, 90))) for _ in range(6)]
@@ -56,7 +57,7 @@ def test_repeats(spark, monkeypatch, length, held, span):
     texts += [texts[10]] * 3
     rows = [(i if i != 12 else None, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1), (3, "another text of the same id", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, begin int")
-    got = suffix_dedup.remove_repeats(df, length=length, held=held).collect()
+    got = suffix_dedup.remove_repeats(df, length=length, held=held, hot=hot).collect()
     raw = [(t or "").encode() for _, t, _ in rows]
     want = []
     for (i, _, _), x, gone in zip(rows, raw, _removed(raw, length), strict=True):
@@ -92,6 +93,19 @@ def _links(sets, threshold=0.8):
     return links
 
 
+def test_hot_anchor(spark, monkeypatch):
+    """A phrase that every document holds in surroundings of its own, some of which recur."""
+    monkeypatch.setattr(suffix_dedup, "ROWS", 16)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    around = [(word(150), word(150)) for _ in range(20)]
+    texts = [a + "the same phrase in very many different texts" + b for a, b in [(word(180), word(180)) for _ in range(60)] + [(a[30 * (k % 2) :], b[: 150 - k]) for k, (a, b) in enumerate(around * 3)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [int(x.sum()) for x in _removed([t.encode() for t in texts], 200)]
+    for hot in (0, 1 << 14, 1 << 23):
+        assert [r.n_removed for r in suffix_dedup.remove_repeats(df, hot=hot).orderBy("doc_id").collect()] == want
+
+
 def _classes(ids, links):
     parent = list(range(len(ids)))
 
