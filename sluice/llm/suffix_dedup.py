@@ -224,22 +224,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, hot:
     2. Of each anchor with stretches that differ, one of each is fetched and sorted: external induced sorting within shards by anchor; neighbours that have length bytes in common repeat.
     3. An anchor whose differing stretches exceed hot bytes, such as a phrase that a third of all documents hold in different surroundings, would be one task's shard. Its strings are dealt out by their hash instead and counted, so they spread over all tasks.
 
-    A hot stretch is counted on the map side and joined back by a join that can be split. A shard has fewer than hot bytes more than SHARD; what is beyond held numbers of it is on disk.
+    The side of a join that has one row for each key is written first, so adaptive execution finds plain shuffles on both sides and can split a hot anchor or stretch; counts are aggregated on the map side. A shard has fewer than hot bytes more than SHARD; what is beyond held numbers of it is on disk.
     """
     spark = docs.sparkSession
     found = docs.mapInArrow(_find(length, min(ANCHOR, length)), "id long, print long, i int, j int, anchor long, stretch long")
-    several = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
+    several = cut(found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor"))
     met = cut(found.join(several, "anchor"))
-    counts = met.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), (F.max(F.col("j") - F.col("i")) + length).alias("size"))
-    kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes"))
-    counted = cut(counts.drop("size").join(kinds, "anchor"))
-    met = met.join(counted, ["anchor", "stretch"])
-    whole = met.where("n > 1").select("id", "print", F.col("i").alias("begin"), (F.col("j") + length).alias("end"))
-    one_each = met.where("kinds > 1").dropDuplicates(["anchor", "stretch"])
+    one = [F.first(c).alias(c) for c in ("id", "print", "i", "j")]  # of one row: all see the same rows in the same order
+    counts = cut(met.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), *one))
+    whole = met.join(counts.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("id", "print", F.col("i").alias("begin"), (F.col("j") + length).alias("end"))
+    kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("j") - F.col("i") + length).alias("bytes"))
+    kinds = cut(kinds.where("kinds > 1").drop("kinds"))
+    one_each = counts.join(kinds, "anchor")
     stretches = _wanted(docs, one_each.where(F.col("bytes") <= hot)).mapInArrow(_fetch(length), "id long, print long, i int, anchor long, n long, bytes binary")
     dealt = stretches.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     spans = whole.distinct().unionByName(dealt.mapInArrow(_sort(length, held), "id long, print long, begin int, end int"))
-    if not counted.where(F.col("bytes") > hot).isEmpty():
+    if not kinds.where(F.col("bytes") > hot).isEmpty():
         strings = _wanted(docs, one_each.where(F.col("bytes") > hot)).mapInArrow(_strings(length), "id long, print long, begin int, anchor long, n long, string long")
         again = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", "string")
         single = strings.where("n = 1").join(again, ["anchor", "string"], "left_semi")  # others are whole
