@@ -35,7 +35,8 @@ def boilerplate(df: DataFrame, text: str = "text", site: str = "source", sites:
     spread = cut(spread.select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - margin)))
     near = spread.where(F.col("estimate") <= sites * (1 + margin)).select("line")
     far = spread.where(F.col("estimate") > sites * (1 + margin)).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line")
+    # Distinct first, on the map side too, so a hot line brings one row a site to the join.
+    exact = lines.distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line")
     return cut(far.unionByName(exact))
 
 
