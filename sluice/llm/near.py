@@ -208,7 +208,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
-    # The forest: rows of (tree, prefix) at the shortest length that meet there; longer prefixes only of those.
+    # The forest at the length to which prefixes must be shortened, the same for all rows.
     d = shortest(threshold, trees, longest, recall)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = vertices.select("vid", "labels", tree.alias("tree")).select("vid", "tree", F.expr(f"substring(labels, tree * {2 * longest} + 1, {2 * d})").alias("prefix"))
