@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_HINTS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Fixed values of HTML: how elements nest and which hold no prose.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,24 +35,36 @@ ENDS = {
 }
 SCOPE = frozenset("table td th caption html button object".split())
 #: Elements and words in class, id or role that mark what isn't the article.
-ASIDE = frozenset("nav aside footer form button select input menu dialog audio video canvas object embed label".split())
+ASIDE = frozenset("nav aside footer button select input menu dialog audio video canvas object embed label".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-links comment comments commentlist complementary contentinfo cookie cookies consent disclaimer discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert".split()
 )
+#: Those of MARKS whose elements often hold more prose than a short article.
+TALK = frozenset("comment comments commentlist discussion disqus recommend recommended related replies reply respond sidebar sidebars widget widgets".split())
+#: Share of the page's unlinked text from which an article element counts as the page's own, and by which alone a page without headings is one element.
+OWN, WHOLE = 0.2, 0.8
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "chars", "linked", "score")
+    __slots__ = ("tag", "parent", "out", "marks", "chars", "linked", "score")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: _Node | None, out: bool, marks: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.out, self.marks = tag, parent, out, marks
         self.chars, self.linked, self.score = 0, 0, 0.0
 
 
-def _is_out(tag: str, attributes: str, parent: _Node | None) -> bool:
-    """Whether an element that opens is left out with all it holds."""
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _is_out(tag: str, attributes: dict[str, str], parent: _Node | None) -> bool:
+    """Whether an element that opens is left out with all it holds, however much that is."""
     if tag in ASIDE:
         return True
     if tag == "header":
@@ -60,14 +73,63 @@ def _is_out(tag: str, attributes: str, parent: _Node | None) -> bool:
             at = at.parent
         if not at:
             return True
-    if attributes and tag not in ("html", "body", "article", "main") or tag in HEADING:
-        for name, *values in _HINTS.findall(attributes):
-            name, value = name.lower(), "".join(values)
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            if name in ("class", "id", "role") and tag not in HEADING and any(w.lower() in MARKS for w in _WORD.findall(value)):
-                return True
-    return False
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+
+
+def _marks(tag: str, attributes: dict[str, str]) -> frozenset[str]:
+    """The words of MARKS that a form is or that class, id and role hold."""
+    values = " ".join(attributes.get(name, "") for name in ("class", "id", "role"))
+    return frozenset(w.lower() for w in [*_WORD.findall(values), *(["form"] if tag == "form" else [])]) & MARKS
+
+
+def _around(node: _Node | None) -> Iterator[_Node]:
+    """The element and those that hold it."""
+    while node:
+        yield node
+        node = node.parent
+
+
+def _leave_out(nodes: list[_Node], pieces: list[list | None]) -> list[list | None]:
+    """The pieces that stay when marked elements go, which are then out with all they hold.
+
+    A marked element stays if it holds a main element, the article element with most text, or more than half of the page's unlinked text where no article or main element lies elsewhere: a wrapper's name says little. One named by TALK needs, besides, a heading of its own (h1, h2; WHOLE of the text if the page has none).
+    """
+    soft = [n for n in nodes if n.marks and not n.out and n.tag not in ("article", "main") and n.tag not in HEADING]
+    if not soft:
+        return pieces
+    size, titles, mains = ({id(n): 0 for n in nodes} for _ in range(3))
+    for piece in pieces:
+        if piece is not None and not piece[2]:
+            size[id(piece[0])] += len("".join(piece[1].split()))
+    for n in nodes:
+        if not n.out and not n.marks:
+            titles[id(n)], mains[id(n)] = int(n.tag in ("h1", "h2")), int(n.tag == "main")
+    for n in reversed(nodes):  # parents come before what they hold
+        if n.parent:
+            for of in (size, titles, mains):
+                of[id(n.parent)] += of[id(n)]
+    total = size[id(nodes[0])]
+    articles = [n for n in nodes if n.tag in ("article", "main") and not n.out and not n.marks and size[id(n)]]
+    own = max((n for n in articles if n.tag == "article" and size[id(n)] >= OWN * total), key=lambda n: size[id(n)], default=None)
+    above = {id(n) for n in _around(own)} if own else set()
+    open_ = {id(n) for n in soft}
+
+    def elsewhere(of: _Node) -> bool:
+        """Whether an article lies beside this element, in none that is left out or not yet judged."""
+        around = {id(n) for n in _around(of)}
+        return any(id(a) not in around and not any(id(n) in open_ for n in _around(a)) for a in articles)
+
+    for n in soft:  # a wrapper comes before what it holds
+        k = id(n)
+        titled = titles[k] > 0 if titles[id(nodes[0])] else size[k] >= WHOLE * total
+        n.out = not (mains[k] or (not n.marks & TALK or titled) and (k in above or 2 * size[k] > total and not elsewhere(n)))
+        if not n.out:
+            open_.discard(k)
+    for n in nodes:
+        n.out = n.out or bool(n.parent and n.parent.out)
+    return [p for p in pieces if p is None or not p[0].out]
 
 
 def _parse(page: str) -> tuple[list[_Node], list[list]]:
@@ -146,7 +208,8 @@ def _parse(page: str) -> tuple[list[_Node], list[list]]:
             pieces.append(None)
         if tag in VOID:
             continue
-        node = _Node(tag, stack[-1], stack[-1].out or _is_out(tag, m[3], stack[-1]))
+        attributes = _attributes(m[3]) if m[3] else {}
+        node = _Node(tag, stack[-1], stack[-1].out or _is_out(tag, attributes, stack[-1]), _marks(tag, attributes))
         nodes.append(node)
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
             stack.append(node)
@@ -178,11 +241,20 @@ def _blocks(pieces: list[list | None]) -> Iterator[tuple[_Node, str, int]]:
 def main_text(page: str | None) -> str:
     """The article of an HTML page: its blocks in page order, joined by newlines; "" if there is none.
 
-    Every block of text (a paragraph, a cell, a list item, an element with text of its own) gives 1 point, 1 for each comma and 1 for each 100 characters, discounted by its share of linked text, to the element that holds it, half to the next, and a smaller part to each further ancestor. An element's points are multiplied by its share of text outside of links. The best element, or the article or main element around it, is the container; of its siblings those stay that hold a heading or have a fifth of its points and few links. Menus, headers, footers, asides, forms and elements whose class, id or role says so (MARKS) neither score nor stay. Of the container all blocks stay, however short.
+    Every block of text (a paragraph, a cell, a list item, an element with text of its own) gives 1 point, 1 for each comma and 1 for each 100 characters, discounted by its share of linked text, to the element that holds it, half to the next, and a smaller part to each further ancestor. An element's points are multiplied by its share of text outside of links. The best element, or the article or main element around it, is the container; of its siblings those stay that hold a heading or have a fifth of its points and few links. Menus, headers, footers, asides, forms and elements whose class, id or role says so (MARKS) neither score nor stay; a form or marked element that holds the article or most of the text isn't left out (see _leave_out), and none is where nothing else has text. Of the container all blocks stay, however short.
     """
     if not page:
         return ""
     nodes, pieces = _parse(page)
+    found = _best_text(nodes, _leave_out(nodes, pieces))
+    if not found and any(n.marks for n in nodes):
+        nodes, pieces = _parse(page)
+        found = _best_text(nodes, pieces)
+    return found
+
+
+def _best_text(nodes: list[_Node], pieces: list[list | None]) -> str:
+    """The blocks of the best element and of the siblings that stay."""
     blocks = list(_blocks(pieces))
     if not blocks:
         return ""

@@ -93,6 +93,29 @@ def test_main_text(wrap):
     assert html.main_text(PAGE % wrap.format(BODY)) == TEXT
 
 
+@pytest.mark.parametrize("inline", ['<a href="/wiki/Hidden_Figures">%s</a>', '<i title="The hidden truth">%s</i>', '<i data-overflow="hidden">%s</i>', '<a href="/view?id=related-12">%s</a>', "<i data-class='ad'>%s</i>"])
+def test_only_real_attributes_hide(inline):
+    body = "<article><p>" + "Words, and more of them, " * 5 + inline % "IN" + " the middle.</p><p %s>Another part, with commas, and an end.</p></article>"
+    text = " ".join(("Words, and more of them, " * 5 + "IN the middle.").split()) + "\nAnother part, with commas, and an end."
+    assert html.main_text(body % "title='role=menu'") == text
+    assert html.main_text(body % "hidden") == html.main_text(body % 'STYLE="display: none"') == text.split("\n")[0]
+
+
+@pytest.mark.parametrize("wrap", ['<div class="page with-sidebar">{}</div>', '<div id=x class="long-form">{}</div>', '<form id="aspnetForm" action="/">{}</form>', '<div role="search main">{}</div>', '<form><div class="has-comments">{}</div></form>', "<article><div class='long-form'>{}</div></article>"])
+def test_marked_wrappers_stay(wrap):
+    side = '<div class="sidebar"><p>Side text, with, many, commas.</p></div><div class="comments"><p>I like this, it was good, and well.</p></div>'
+    for inner in (BODY, f"<article>{BODY}</article>"):
+        assert html.main_text("<body><nav><a href=/>Home</a></nav>" + wrap.format(inner + side) + "<p>Copyright, of the site.</p></body>").startswith(TEXT)
+        assert "Side text" not in html.main_text("<body>" + wrap.format(inner + side) + "</body>")
+
+
+def test_marked_elements_beside_a_short_article_go():
+    talk = "<p>I like this, it was good, and, well, I have more to say about it.</p>" * 30
+    for other in ('<div class="comments">%s</div>', '<section id="related"><article>%s</article></section>', '<div class="sidebar">%s</div>'):
+        assert html.main_text(f"<body><div class=post><h1>T</h1><p>A short, but whole, article.</p></div>{other % talk}</body>") == "T\nA short, but whole, article."
+    assert html.main_text("<body><div class='ad'><p>One, two.</p></div><div class='promo'><p>Six, ten.</p></div></body>") != ""
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain text, no tags", "<p>a<p>b", "<", "<div>" * 3000 + "deep, text", "<script>x", "<a href='>'>l</a>", "<p>1 < 2 &lt; 3</p>", "<b>bold", "<nav><p>only menu</p></nav>"]
     df = spark.createDataFrame([(i, "u", p, "old") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
