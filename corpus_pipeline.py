@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, decontaminate, exact_dedup, near, quality
-from sluice.llm.common import shared_folder, table
+from sluice.llm.common import cut, shared_folder, table
 from sluice.llm.queries import RANKS
 
 
@@ -25,9 +25,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one of the least id; ids identify documents."""
-    classes = near.jaccard_join(docs)
-    return docs.join(classes.where("doc_id != class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of similar documents the one of the least id (a null id last); rows are told apart by a number, so ids may be null or repeated."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    classes = near.jaccard_join(rows.select(key.alias("__key"), "text"), id_col="__key")
+    dropped = classes.where("__key.row != class_id.row").select(F.col("__key.row").alias("__row"))
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,3 +205,21 @@ def test_pipeline(spark):
     assert steps[4] == steps[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == steps[4]
     assert at.where(F.col("n_tokens") != F.size("ids")).isEmpty()
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    made = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    like = lambda words: " ".join([*words, f"z{rng.randrange(10**6)}"])
+    a, b, c, d = made(), made(), made(), made()
+    kept = [(1, like(a), "first"), (4, like(b), "b"), (2, " ".join(made()), "alone"), (None, " ".join(made()), "alone"), (7, None, "null"), (7, "", "empty"), (None, None, "null")]
+    gone = [(2, like(a), "a"), (None, like(a), "a"), (4, like(b), "b")]
+    either = [(None, like(c), "c"), (None, like(c), "c")]
+    twice = [(9, " ".join(d), "d")] * 2
+    df = spark.createDataFrame(kept + gone + either + twice, "doc_id long, text string, note string")
+    got = Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, df, SF).collect()))
+    assert sum(got.values()) == len(kept) + 2 and got[twice[0]] == 1 and got[either[0]] + got[either[1]] == 1
+    assert sum(got[x] for x in (kept[1], gone[2])) == 1
+    assert all(got[x] == 1 for x in [kept[0], *kept[2:]]) and not any(got[x] for x in gone[:2])
