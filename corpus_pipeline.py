@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, decontaminate, exact_dedup, near, quality
-from sluice.llm.common import cut, shared_folder, table
+from sluice.llm.common import aside, cut, shared_folder, table
 from sluice.llm.queries import RANKS
 
 
+def _chosen(docs: DataFrame, made: tuple[str, ...], stage, condition) -> DataFrame:
+    """The rows of docs for which condition holds after stage, which makes columns of these names; docs' own of the same names come back as they were."""
+    own, names = aside(docs, made)
+    return stage(own).where(condition).select(*(F.col(names[c]).alias(c) if c in names else c for c in docs.columns))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of those here."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, rules).where("predicted = 1").select(*docs.columns)
+    return _chosen(docs, quality.MADE, lambda own: quality.score(own, rules), "predicted = 1")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return _chosen(docs, exact_dedup.MADE, exact_dedup.exact_dedup, "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    return _chosen(docs, decontaminate.MADE, lambda own: decontaminate.find_leaks(own, table(spark, sf_dir, "benchmark")), F.size("leaks") == 0)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from .common import aside
+
 #: A long text is cut into parts of about this many characters.
 PART = 1 << 16
 #: Where the pattern's matches always end: before white space that follows something else, and where letters and digits meet. No alternative goes on from one to the other, and what looks ahead looks at what follows white space, which stays in one part with it.
@@ -57,6 +59,8 @@ def codec(ranks: str, pattern: str) -> Codec:
 
 def _rows(df: DataFrame, text: str, made: dict[str, str], per_text, ranks: str, pattern: str) -> DataFrame:
     """df with the columns made, per_text(codec, text) of each row."""
+    df, names = aside(df, made)
+    text = names.get(text, text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} {v}" for k, v in made.items()])
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
@@ -68,16 +72,18 @@ def _rows(df: DataFrame, text: str, made: dict[str, str], per_text, ranks: str,
             new = [pa.array([r[i] for r in rows], kinds[v]) for i, v in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *made])
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(batches, schema).drop(*names.values())
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with ids (array of int) and n_tokens of each whole text, each match of pattern merged by itself, without special tokens; null is empty. Map only. df must not have columns of these names."""
+    """df with ids (array of int) and n_tokens of each whole text, each match of pattern merged by itself, without special tokens; null is empty. Map only. Columns of df with these names are replaced."""
     return _rows(df, text, {"ids": "array<int>", "n_tokens": "long"}, lambda c, x: (ids := c.encode(x), len(ids)), ranks, pattern)
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """df with decoded (binary), the raw bytes of the ids; null ids are none. Map only."""
+    """df with decoded (binary), the raw bytes of the ids; null ids are none. Map only. A column of df named decoded is replaced."""
+    df, names = aside(df, ("decoded",))
+    ids = names.get(ids, ids)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["decoded binary"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +92,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFra
             new = pa.array([own.decode(x.as_py() or []) for x in batch.column(batch.schema.get_field_index(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(batches, schema).drop(*names.values())
 
 
 def _digest(c: Codec, text: str, keep: bool = False) -> tuple:
@@ -105,6 +111,6 @@ def _digest(c: Codec, text: str, keep: bool = False) -> tuple:
 
 
 def digest(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
-    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of each whole text, encoded and decoded again, and with the ids themselves if asked for; null is empty. Map only. df must not have columns of these names."""
+    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of each whole text, encoded and decoded again, and with the ids themselves if asked for; null is empty. Map only. Columns of df with these names are replaced."""
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if ids else {})
     return _rows(df, text, made, lambda c, x: _digest(c, x, ids), ranks, pattern)

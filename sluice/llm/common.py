@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def aside(df: DataFrame, made: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns that are named, in any case, like one of made under reserved names, and these by the old names; df itself where there are none."""
+    taken = {m.lower() for m in made}
+    names = {c: f"__own_{k}" for k, c in enumerate(df.columns) if c.lower() in taken}
+    return (df.toDF(*(names.get(c, c) for c in df.columns)) if names else df), names
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

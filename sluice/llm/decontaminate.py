@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix, words
+from .common import aside, mix, words
 
 #: Word positions that a seed looks at; the others may differ. In any 13 words of which two were replaced at least one of them hits.
 SEEDS = ((0, 1, 2, 3), (0, 1, 3, 4, 7), (0, 2, 3, 5, 8))
@@ -18,6 +18,8 @@ SEEDS = ((0, 1, 2, 3), (0, 1, 3, 4, 7), (0, 2, 3, 5, 8))
 LEAST, SHORT, SHARE = 13, 8, 0.8
 #: Words of test items that are held at once, 8 bytes each and some 50 for their seeds. More are taken in blocks, one pass over the documents each.
 HELD = 200_000
+#: The column that find_leaks adds.
+MADE = ("leaks",)
 
 
 def _seeded(hashes: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
@@ -107,11 +109,12 @@ def _leaks(sent, at: int, names: list[str], kind: pa.DataType):
 def find_leaks(df: DataFrame, tests: DataFrame, text: str = "text", test_id: str = "item_id", test_text: str = "text", held: int = HELD) -> DataFrame:
     """df with leaks: an array of (item_id, start, n_words, n_equal), one for each test item that the row's text holds.
 
-    Words are lower-cased runs of letters and digits, so punctuation, case and white space don't matter. A text holds an item if, aligned word by word, there is a run of at least LEAST words (of a shorter item: of SHARE of its words) of which SHARE are equal; start is the run's first word in the text, counted from 0. Every seed of every position of the whole text is looked up among the seeds of all items, and each place that hits is verified along the alignment, so replaced words are tolerated. Of several places the one with most equal words counts. Items of fewer than SHORT words, null and empty ones say nothing and are ignored; a null or empty text holds none. Repeated rows and items are treated each by itself. df must not have columns named leaks or beginning with two underscores.
+    Words are lower-cased runs of letters and digits, so punctuation, case and white space don't matter. A text holds an item if, aligned word by word, there is a run of at least LEAST words (of a shorter item: of SHARE of its words) of which SHARE are equal; start is the run's first word in the text, counted from 0. Every seed of every position of the whole text is looked up among the seeds of all items, and each place that hits is verified along the alignment, so replaced words are tolerated. Of several places the one with most equal words counts. Items of fewer than SHORT words, null and empty ones say nothing and are ignored; a null or empty text holds none. Repeated rows and items are treated each by itself. A column of df named leaks is replaced; none may begin with two underscores.
 
     Map only: documents are neither shuffled nor gathered. The words of the test items are counted first; up to held words go to the workers at once, more in as many blocks by hash, each with a pass of its own, so what is held is bounded for any set of tests.
     """
-    spark = df.sparkSession
+    df, names = aside(df, MADE)
+    text, spark = names.get(text, text), df.sparkSession
     own = tests.select(F.col(test_id).alias("id"), F.col(test_text).alias("text"))
     total = own.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // held))
@@ -125,4 +128,4 @@ def find_leaks(df: DataFrame, tests: DataFrame, text: str = "text", test_id: str
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema] + [f"__leaks {leaks}"])
         found = out.mapInArrow(_leaks(sent, out.columns.index(text), out.columns, kind), schema)
         out = found.withColumn("leaks", F.concat("leaks", "__leaks")).drop("__leaks")
-    return out
+    return out.drop(*names.values())

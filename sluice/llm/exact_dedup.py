@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import aside, cut, partitions
 
 #: The characters that normalisation deletes.
 DROPPED = " \t\n\x0b\x0c\r"
 #: Characters of a text by which it is dealt out and that its splitters hold.
 HEAD = 32
+#: Columns that exact_dedup adds.
+MADE = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: Column) -> Column:
@@ -30,14 +32,19 @@ def hot_prints(df: DataFrame, print_of: Column, share: int) -> DataFrame:
 def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", share: int = 4) -> DataFrame:
     """df's rows and columns with keep_id, group_size, kept and text_sha256 (of the normalised text).
 
-    Texts are equal when their normalised forms are equal byte for byte; null counts as empty, so null and blank texts are one group. Of each group the row with the most code points in the original text stays, then the one of the smallest id (a null id last); of fully repeated rows exactly one is kept. Columns of df must not be named keep_id, group_size, kept, text_sha256 or begin with two underscores.
+    Texts are equal when their normalised forms are equal byte for byte; null counts as empty, so null and blank texts are one group. Of each group the row with the most code points in the original text stays, then the one of the smallest id (a null id last); of fully repeated rows exactly one is kept. Columns of df with these names are replaced; none may begin with two underscores.
 
     Sampled splitters range-partition the normalised text by its first HEAD characters and then its fingerprint, so a sample of splitters is small however long texts are, and texts that only begin alike still spread. Each partition is sorted externally by these and the whole normalised text, and a window compares neighbours in full. A group of copies so large that it would fill a good part of a partition is found by its fingerprint's count beforehand; such copies are counted and their best row is found by pre-aggregation on the map side, and only one row a task travels to the sort. There the whole normalised texts are compared, so a colliding fingerprint joins nothing. Members of large groups get the result by a broadcast of one row per large group, of which there are fewer than share * partitions.
     """
+    df, names = aside(df, MADE)
+    return _deduped(df, names.get(text, text), names.get(id_col, id_col), share).drop(*names.values())
+
+
+def _deduped(df: DataFrame, text: str, id_col: str, share: int) -> DataFrame:
     norm, code_points = normalised(F.col(text)), F.coalesce(F.length(text), F.lit(0))
     prints = hot_prints(df, F.xxhash64(norm), share)
     named = [F.col(c) for c in df.columns]
-    extra = ["keep_id", "group_size", "kept", "text_sha256"]
+    extra = list(MADE)
     missing = F.col(id_col).isNull()
 
     def sorted_groups(rows: DataFrame) -> DataFrame:

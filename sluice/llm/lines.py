@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aside, cut
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
@@ -17,6 +17,8 @@ SITES = 10
 REGISTERS, ERRORS = 8, 4
 #: Boilerplate lines up to this many are sent to every worker (8 bytes each); beyond, lines are joined by a shuffle.
 BROADCAST = 200_000
+#: Columns that dedup_lines adds.
+MADE = ("kept_text", "n_lines", "n_removed")
 
 
 def _lines(df: DataFrame, text: str, site: str) -> DataFrame:
@@ -60,10 +62,15 @@ def _without(gone, at: int, names: list[str]):
 def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", sites: int = SITES, broadcast: int = BROADCAST) -> DataFrame:
     """df with kept_text (the text without its boilerplate lines, see boilerplate), n_lines and n_removed.
 
-    Lines are what newlines separate, compared as they are; a null text has none and stays null, an empty text has one blank line. Repeated rows are each treated alike. df must not have columns of these names or beginning with two underscores.
+    Lines are what newlines separate, compared as they are; a null text has none and stays null, an empty text has one blank line. Repeated rows are each treated alike. Columns of df with these names are replaced; none may begin with two underscores.
 
     The set of boilerplate hashes is counted first. Up to broadcast of them go to the workers and documents are rewritten where they are read; more are joined by a shuffle of (row, place, hash), and the text then by its row.
     """
+    df, names = aside(df, MADE)
+    return _rewritten(df, names.get(text, text), names.get(site, site), sites, broadcast).drop(*names.values())
+
+
+def _rewritten(df: DataFrame, text: str, site: str, sites: int, broadcast: int) -> DataFrame:
     gone = boilerplate(df, text, site, sites)
     spark = df.sparkSession
     if gone.count() <= broadcast:

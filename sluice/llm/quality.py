@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 #: At most this many labelled rows are gathered to fit the rules.
 SAMPLE = 12_000
+#: Columns that score adds.
+MADE = ("score", "predicted")
 TREES, DEPTH, LEAST, STEPS, LASSO = 40, 3, 25, 400, 0.002
 
 
@@ -162,11 +166,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 
 
 def score(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5), in expressions only and without a shuffle. Any text has a score, null and empty ones that of an empty text. docs must not have columns of these names."""
+    """docs with score (0 to 1) and predicted (1 if score >= 0.5), in expressions only and without a shuffle. Any text has a score, null and empty ones that of an empty text. Columns of docs with these names are replaced; none may begin with two underscores."""
+    docs, names = aside(docs, MADE)
+    text, others = names.get(text, text), [c for c in docs.columns if c not in names.values()]
     found = statistics(F.col(text))
     # Always true, but the planner can't know: it would else copy each statistic into every rule, and again into filters on the score.
     packed = docs.withColumn("__stats", F.when(F.rand(0) >= 0, F.struct(*(c.alias(k) for k, c in found.items()))))
     open_ = packed.select(*docs.columns, *(F.col(f"__stats.{k}").alias(f"__{k}") for k in found))
     own = Rules(rules.base, tuple(Rule(tuple((f"__{n}", a, b) for n, a, b in r.terms), r.weight) for r in rules.rules))
-    scored = open_.withColumn("score", own.score())
-    return scored.select(*docs.columns, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = open_.withColumn("__score", own.score())
+    return scored.select(*others, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

@@ -106,3 +106,13 @@ def test_exact_dedup(spark, share):
 def test_hot_copies_are_found(spark):
     df = spark.createDataFrame([(i, "hot" if i < 100 else str(i)) for i in range(200)], "doc_id long, text string")
     assert exact_dedup.hot_prints(df, F.xxhash64(exact_dedup.normalised(F.col("text"))), 4).count() == 1
+
+
+@pytest.mark.parametrize("share", [1, 10_000])
+def test_exact_dedup_replaces_columns_of_its_names(spark, share):
+    rows = [(i, "hot copy" if i % 2 else f"text {i}") for i in range(200)]
+    df = spark.createDataFrame([(*r, "x", "y", "z", "s") for r in rows], "doc_id long, text string, kept string, KEEP_ID string, group_size string, text_sha256 string")
+    plain = exact_dedup.exact_dedup(df.select("doc_id", "text"), share=share)
+    got = exact_dedup.exact_dedup(df, share=share)
+    assert got.columns == plain.columns
+    assert Counter(got.collect()) == Counter(plain.collect())

@@ -223,3 +223,18 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert sum(got.values()) == len(kept) + 2 and got[twice[0]] == 1 and got[either[0]] + got[either[1]] == 1
     assert sum(got[x] for x in (kept[1], gone[2])) == 1
     assert all(got[x] == 1 for x in [kept[0], *kept[2:]]) and not any(got[x] for x in gone[:2])
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_keep_columns_of_any_name(spark, k):
+    import corpus_pipeline
+
+    extra = ["kept", "keep_id", "group_size", "text_sha256", "Score", "predicted", "leaks", "class_id", "n_links", "n_copies", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).cache()
+    stage = corpus_pipeline.STAGES[k][1]
+    got = stage(spark, docs.select(*(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in extra), *docs.columns), SF)
+    plain = stage(spark, docs, SF)
+    if k < 4:
+        assert got.columns == [*extra, *docs.columns]
+        assert all(r[j] == f"{c} {r.doc_id}" for r in got.collect() for j, c in enumerate(extra))
+    assert sorted(map(repr, got.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))

@@ -249,3 +249,26 @@ def test_odd_texts_have_scores(spark):
     got = quality.score(df, quality.learn(df, labels)).collect()
     assert len(got) == 5 and all(r.score is not None for r in got)
     assert quality.score(df, quality.learn(df, labels.limit(0))).count() == 5
+
+
+OPERATORS = {
+    "lines": lambda df: lines.dedup_lines(df, sites=2),
+    "lines by shuffle": lambda df: lines.dedup_lines(df, sites=2, broadcast=0),
+    "score": lambda df: quality.score(df, quality.Rules(0.25, ())),
+    "leaks": lambda df: decontaminate.find_leaks(df, df.sparkSession.createDataFrame([(1, LEAK)], "item_id long, text string")),
+    "encode": lambda df: bpe.encode(df, RANKS, public_tokenizers.PATTERN),
+    "digest": lambda df: bpe.digest(df, RANKS, public_tokenizers.PATTERN, ids=True),
+    "decode": lambda df: bpe.decode(df.withColumn("numbers", F.expr("array(1, 2)")), RANKS, public_tokenizers.PATTERN, ids="numbers"),
+}
+LEAK = " ".join(f"w{k}" for k in range(20))
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_of_their_names_are_replaced(spark, name):
+    df = spark.createDataFrame([(1, f"one\n{LEAK}", "a", "own"), (2, "one\ntwo", "b", "own"), (None, None, None, None)], "doc_id long, text string, source string, other string")
+    plain = OPERATORS[name](df)
+    made = [c for c in plain.columns if c not in (*df.columns, "numbers")]
+    clash = df.select("doc_id", *(F.lit("in").alias(c if k else c.upper()) for k, c in enumerate(made)), "text", "source", "other")
+    got = OPERATORS[name](clash)
+    assert got.columns == plain.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
