@@ -12,10 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import aside, mix, words
 
-#: Word positions that a seed looks at; the others may differ. In any 13 words of which two were replaced at least one of them hits.
-SEEDS = ((0, 1, 2, 3), (0, 1, 3, 4, 7), (0, 2, 3, 5, 8))
-#: A leak has at least LEAST words (or a whole shorter item of at least SHORT), of which SHARE are equal.
-LEAST, SHORT, SHARE = 13, 8, 0.8
+#: Word positions that a seed looks at; the others may differ. In any 13 words of which two were replaced, and any 7 of an item of 8 of which one was, at least one of them hits.
+SEEDS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4, 7), (0, 2, 3, 5, 8))
+#: A leak has at least LEAST words (or a whole shorter item of at least SHORT), of which SHARE are equal. Items of fewer than SEEDED words are looked up whole.
+LEAST, SHORT, SHARE, SEEDED = 13, 1, 0.8, 8
 #: Words of test items that are held at once, 8 bytes each and some 50 for their seeds. More are taken in blocks, one pass over the documents each.
 HELD = 200_000
 #: The column that find_leaks adds.
@@ -38,16 +38,20 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids, self.words, found = [], [], []
+        used: dict[tuple[int, ...], None] = {}
         for lo, hi, hashes, offsets in words(pa.array(texts, pa.string()), fold=True):
             for i in range(lo, hi):
                 own = hashes[offsets[i - lo] : offsets[i - lo + 1]]
                 if len(own) >= SHORT:
-                    for k, seed in enumerate(SEEDS):
+                    seeds = SEEDS if len(own) >= SEEDED else (tuple(range(len(own))),)
+                    used.update(dict.fromkeys(seeds))
+                    for seed in seeds:
                         h = _seeded(own, seed)
-                        found.append(np.stack([h, np.full(len(h), len(self.ids), np.uint64), np.arange(len(h), dtype=np.uint64), np.full(len(h), k, np.uint64)], 1))
+                        found.append(np.stack([h, np.full(len(h), len(self.ids), np.uint64), np.arange(len(h), dtype=np.uint64)], 1))
                     self.ids.append(ids[i])
                     self.words.append(own)
-        table = np.concatenate(found) if found else np.zeros((0, 4), np.uint64)
+        self.seeds = tuple(used)
+        table = np.concatenate(found) if found else np.zeros((0, 3), np.uint64)
         table = table[np.argsort(table[:, 0], kind="stable")]
         self.hash, self.item, self.at = table[:, 0].copy(), table[:, 1].astype(np.int64), table[:, 2].astype(np.int64)
         bits = max(18, int(32 * len(table)).bit_length())
@@ -58,7 +62,7 @@ class Items:
     def hits(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Distinct (row, item, word of the row where the item would begin), as rows of an array."""
         out = []
-        for seed in SEEDS:
+        for seed in self.seeds:
             h = _seeded(hashes, seed)
             at = np.flatnonzero(self.there[(h >> self.shift).astype(np.int64)])
             row = np.searchsorted(offsets, at, "right") - 1
@@ -94,6 +98,8 @@ def _leaks(sent, at: int, names: list[str], kind: pa.DataType):
             for lo, _, hashes, offsets in words(batch.column(at), fold=True):
                 for row, item, begin in items.hits(hashes, offsets):
                     own, test = hashes[offsets[row] : offsets[row + 1]], items.words[item]
+                    if len(test) < SEEDED and int(item) in found[lo + row]:
+                        continue  # a whole item is the same everywhere, and the first place counts
                     a, b = max(begin, 0), min(begin + len(test), len(own))
                     equal = own[a:b] == test[a - begin : b - begin]
                     start, n = longest(equal)
@@ -109,7 +115,7 @@ def _leaks(sent, at: int, names: list[str], kind: pa.DataType):
 def find_leaks(df: DataFrame, tests: DataFrame, text: str = "text", test_id: str = "item_id", test_text: str = "text", held: int = HELD) -> DataFrame:
     """df with leaks: an array of (item_id, start, n_words, n_equal), one for each test item that the row's text holds.
 
-    Words are lower-cased runs of letters and digits, so punctuation, case and white space don't matter. A text holds an item if, aligned word by word, there is a run of at least LEAST words (of a shorter item: of SHARE of its words) of which SHARE are equal; start is the run's first word in the text, counted from 0. Every seed of every position of the whole text is looked up among the seeds of all items, and each place that hits is verified along the alignment, so replaced words are tolerated. Of several places the one with most equal words counts. Items of fewer than SHORT words, null and empty ones say nothing and are ignored; a null or empty text holds none. Repeated rows and items are treated each by itself. A column of df named leaks is replaced; none may begin with two underscores.
+    Words are lower-cased runs of letters and digits, so punctuation, case and white space don't matter. A text holds an item if, aligned word by word, there is a run of at least LEAST words (of a shorter item: of SHARE of its words) of which SHARE are equal; start is the run's first word in the text, counted from 0. Every seed of every position of the whole text is looked up among the seeds of all items, and each place that hits is verified along the alignment, so replaced words are tolerated. Of several places the one with most equal words counts. Items of fewer than SEEDED words are held only word for word. Items without words, null and empty ones say nothing and are ignored; a null or empty text holds none. Repeated rows and items are treated each by itself. A column of df named leaks is replaced; none may begin with two underscores.
 
     Map only: documents are neither shuffled nor gathered. The words of the test items are counted first; up to held words go to the workers at once, more in as many blocks by hash, each with a pass of its own, so what is held is bounded for any set of tests.
     """

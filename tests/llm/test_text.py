@@ -272,3 +272,55 @@ def test_columns_of_their_names_are_replaced(spark, name):
     got = OPERATORS[name](clash)
     assert got.columns == plain.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_leaks_of_eight_words_and_fewer(spark):
+    around = ["x", "y", "z"]
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(1, 9)]
+    docs = [[*around, *i, *around] for i in items] + [[*around, *i[:-1], *around] for i in items[:7]]
+    eight, enough = items[-1], []
+    for mask in range(256):
+        doc = [w if mask >> k & 1 else "r" for k, w in enumerate(eight)]
+        docs.append(doc)
+        enough.append(_leak(doc, eight))
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(len(t), " ".join(t)) for t in items], "item_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.start, x.n_words, x.n_equal) for x in r.leaks] for r in decontaminate.find_leaks(frame, tests).collect()}
+    assert [got[k] for k in range(8)] == [[(n, 3, n, n)] for n in range(1, 9)]
+    assert not any(got[k] for k in range(8, 15))
+    assert [(got[15 + m] or [(8, 0, 0, None)])[0][3] for m in range(256)] == enough
+
+
+def _table_leaks():
+    """(doc_id, item_id) by _leak over the whole small tables; only items of which a document has 11 words at one alignment are looked at in full."""
+    import pyarrow.parquet as pq
+
+    read = lambda name, key: [(r[key], next(iter(common.words(pa.array([r["text"] or ""], pa.string()), 1 << 30, fold=True)))[2:]) for r in pq.read_table(f"{SF}/{name}.parquet").to_pylist()]
+    out = set()
+    items = [(k, h) for k, (h, _) in read("benchmark", "item_id")]
+    for d, (doc, _) in read("documents", "doc_id"):
+        places: dict[int, list[int]] = {}
+        for i, w in enumerate(doc.tolist()):
+            places.setdefault(w, []).append(i)
+        for k, item in items:
+            begins: dict[int, int] = {}
+            for j, w in enumerate(item.tolist()):
+                for i in places.get(w, ()):
+                    begins[i - j] = begins.get(i - j, 0) + 1
+            for begin, n in begins.items():
+                if n >= decontaminate.SHARE * min(decontaminate.LEAST, decontaminate.SHARE * len(item)):
+                    lo, hi = max(begin, 0), min(begin + len(item), len(doc))
+                    if _leak(doc[lo:hi].tolist(), item.tolist()) is not None:
+                        out.add((d, k))
+                        break
+    return out
+
+
+def test_op3_and_the_stage_against_the_whole_table(spark):
+    import corpus_pipeline
+
+    want = _table_leaks()
+    assert want and {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, SF).collect()} == want
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+    assert clean and {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, SF).collect()} == clean
