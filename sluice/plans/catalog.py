@@ -339,12 +339,12 @@ def multiplex_counts(s, d):
 
 @query()
 def bronze_lineage(s, d):
-    """Multiplexed rows by a stream over JSON files, with the files that they came from."""
+    """Multiplexed rows by a stream over JSON files, with the files that they came from; every raw row is taken, dirty ones too."""
     from ..sources import bronze, registry, tables
 
     root, source = scratch(s), registry.BY_ENTITY["meter_readings"]
-    days = a.raw_readings(s, d).withColumn("ingest_date", F.coalesce(F.substring("event_timestamp", 1, 7), F.lit("none")))
-    days.where("ingest_date LIKE '____-__'").withColumn("ingest_date", F.concat("ingest_date", F.lit("-01"))).write.partitionBy("ingest_date").json(f"{root}/raw/meter_readings")
+    days = a.raw_readings(s, d).withColumn("ingest_date", F.trunc(F.col("event_timestamp").try_cast("date"), "month"))  # null, a folder of its own, without a readable time
+    days.write.partitionBy("ingest_date").json(f"{root}/raw/meter_readings")
     stream = bronze.multiplex_rows(registry.read_stream(s, source, f"{root}/raw"), source)
     tables.append_available(stream, f"{root}/bronze", f"{root}/checkpoint", source_entity=source.entity).awaitTermination()
     return tables.read_table(s, f"{root}/bronze").groupBy("source_entity", "_source_file").agg(F.count(F.lit(1)).alias("n"))

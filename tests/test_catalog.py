@@ -5,8 +5,9 @@ import decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from sluice.plans import catalog
+from sluice.plans import adapters, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,11 @@ def test_query(spark, duck, name):
         names = [c[0] for c in found.description]
         assert sorted(names) == sorted(df.columns)
         assert got == _rows(names, found.fetchall())
+
+
+def test_bronze_takes_every_raw_row(spark):
+    raw = adapters.raw_readings(spark, SF)
+    dirty = raw.where(F.col("event_timestamp").try_cast("timestamp").isNull()).count()
+    rows = catalog.QUERIES["bronze_lineage"](spark, SF).collect()
+    assert dirty and sum(r.n for r in rows) == raw.count()
+    assert sum(r.n for r in rows if "ingest_date=__HIVE_DEFAULT_PARTITION__" in r._source_file) == dirty
