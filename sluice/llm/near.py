@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: an LSH forest over MinHash signatures, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 Rows become vertices by their sequence of words: rows of equal words are one vertex with a count, so copies are never paired.
 """
@@ -199,7 +199,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
 
     Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words, itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
 
-    1. Signatures of trees x longest MinHash values; each tree's trie is its labels in sorted order. Prefixes of the labels are matched from the longest on and shortened until a pair at the threshold meets in some tree with probability recall; this is the only loss.
+    1. Signatures of trees x longest MinHash values; each tree is a band. Rows are grouped once by the first values of each band, of one length for all rows: the longest by which a pair at the threshold meets in some band with probability recall; this is the only loss. No trie is walked: every pair that a longer prefix joins is joined by this one too, and a walk that stops at a longer match would miss links.
     2. Members of a bucket of equal prefixes all get its least member as a centre: linear in the bucket, and two members of any bucket share a centre.
     3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
     """
@@ -208,7 +208,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
-    # The forest at the length to which prefixes must be shortened, the same for all rows.
+    # Bands at the length to which prefixes must be shortened, the same for all rows; the values after it aren't read.
     d = shortest(threshold, trees, longest, recall)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = vertices.select("vid", "labels", tree.alias("tree")).select("vid", "tree", F.expr(f"substring(labels, tree * {2 * longest} + 1, {2 * d})").alias("prefix"))
