@@ -1,10 +1,11 @@
-"""What several operators of this subpackage share: table access, checkpoints and word hashing."""
+"""What several operators of this subpackage share: table access, checkpoints, Arrow maps and hashing."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,19 +19,27 @@ SPAN = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers that Spark starts from now on find this package too, where it is installed at the driver's place."""
+    """A table of the folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema). Python workers find this package where it is installed, or at the driver's place, whichever frame df is."""
+    spark = df.sparkSession
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [environment.get("PYTHONPATH")])])
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests. Checkpoints go there too."""
-    context = spark.sparkContext._jsc.sc()
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set on a local master, as in tests. Checkpoints go there too."""
+    context, named = spark.sparkContext._jsc.sc(), spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()
+        if not named and not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sluice-"))
+    return named or context.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,21 +71,34 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BYTE = stream(1, 256)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 # For folding: what isn't an ASCII letter or digit, nor a part of a longer character, separates words.
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_P = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SPAN + 1)
-        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, p, np.uint64))) for p in (_P, pow(_P, -1, 2**64))]
-    return _powers[0], _powers[1]
+#: Runs of more bytes are hashed one by one with BLAKE2b, shorter ones together, eight bytes a step.
+LONG = 1 << 10
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k of eight bytes
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs of bytes data[start:end]. Each step of eight bytes is a bijection of the state, so there is no algebra by which long runs collide; two lanes together give 128 bits."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(_FACTORS[lane]))
+    going, k = np.flatnonzero(size <= LONG), 0
+    while len(going):
+        rest = size[going] - k
+        block = eights[starts[going] + k] & _FIRST[np.minimum(rest, 8)]
+        out[going] = mix((out[going] ^ block) * np.uint64(_FACTORS[1 - lane]))
+        going, k = going[rest > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        whole = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(whole[8 * lane : 8 * lane + 8], "little")
+    return out
 
 
 def _folded(data: np.ndarray) -> np.ndarray:
@@ -101,10 +123,7 @@ def _span(data: np.ndarray, first: np.ndarray, apart: np.ndarray = _SPACE) -> tu
     after[1:n] |= space[1:]
     starts = np.flatnonzero(~space & before[:n])
     ends = np.flatnonzero(~space & after[1:]) + 1
-    power, inverse = _tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    return digests(data, starts, ends), starts, ends
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ Rows become vertices by their sequence of words: rows of equal words are one ver
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions, shingles, stream, words
+from .common import arrow_map, cut, mix, partitions, shingles, stream, words
 
 TREES, LONGEST, RECALL = 16, 6, 0.999
 #: Members and bytes of shingles that a block holds, and columns of shingles that are multiplied at once.
@@ -39,13 +40,9 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _identity(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """16 bytes for each row's sequence of words (rows have at least one)."""
-    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
-    out = np.empty((len(offsets) - 1, 2), ">u8")
-    for k in (0, 1):
-        out[:, k] = mix(np.add.reduceat(mix(hashes + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)), offsets[:-1]) + np.diff(offsets).astype(np.uint64))
-    return out
+def _identity(text: str) -> bytes:
+    """16 bytes of a cryptographic hash of the sequence of words."""
+    return hashlib.blake2b(b" ".join(text.encode().split()), digest_size=16).digest()
 
 
 def _sketches(trees: int, longest: int, size: int):
@@ -54,7 +51,7 @@ def _sketches(trees: int, longest: int, size: int):
             ids = batch.column(0)
             for lo, hi, hashes, offsets in words(batch.column(1)):
                 full = np.flatnonzero(np.diff(offsets) > 0)
-                own = ids.slice(lo, hi - lo)
+                own, texts = ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
                 vid, labels = [None] * (hi - lo), [None] * (hi - lo)
                 size_of = np.zeros(hi - lo, np.int64)
                 if len(full):
@@ -62,9 +59,9 @@ def _sketches(trees: int, longest: int, size: int):
                     grams, where = shingles(hashes, at, size)
                     size_of[full] = np.diff(where)
                     found = signatures(grams, where, trees * longest).astype(">u2").tobytes()
-                    names, row = _identity(hashes, at).tobytes(), trees * longest * 2
-                    for i, r in enumerate(full):
-                        vid[r] = names[16 * i : 16 * i + 16]
+                    row = trees * longest * 2
+                    for i, r in enumerate(full.tolist()):
+                        vid[r] = _identity(texts[r].as_py())
                         labels[r] = found[row * i : row * i + row]
                 yield pa.RecordBatch.from_arrays([own, pa.array(vid, pa.binary()), pa.array(labels, pa.binary()), pa.array(size_of)], ["id", "vid", "labels", "grams"])
 
@@ -74,15 +71,15 @@ def _sketches(trees: int, longest: int, size: int):
 def _shingle_sets(size: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for _, _, hashes, offsets in words(batch.column(0)):
+            for lo, _, hashes, offsets in words(batch.column(0)):
                 full = np.flatnonzero(np.diff(offsets) > 0)
                 if not len(full):
                     continue
                 at = np.append(offsets[:-1][full], offsets[-1])
                 grams, where = shingles(hashes, at, size)
-                names = _identity(hashes, at).tobytes()
+                names = [_identity(batch.column(0)[lo + r].as_py()) for r in full.tolist()]
                 sets = [np.unique(grams[where[i] : where[i + 1]]).tobytes() for i in range(len(full))]
-                yield pa.RecordBatch.from_arrays([pa.array([names[16 * i : 16 * i + 16] for i in range(len(full))], pa.binary()), pa.array(sets, pa.binary())], ["vid", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["vid", "grams"])
 
     return run
 
@@ -162,19 +159,19 @@ def _linked(threshold: float):
 def _compared(stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(vid, root, weight) for the members of stars (centre, vid): all pairs that share a centre are compared exactly, in memory. weight: rows of the texts linked; root: another vertex of the same component.
 
-    Members of a centre are dealt into blocks, and each pair of blocks is a unit of its own, so a centre with any number of members is spread over tasks that each hold two blocks. A pair that shares several centres counts at the least one.
+    The side of a join that has one row for each key is written first, so adaptive execution finds plain shuffles on both sides and can split a hot centre. Members of a centre are dealt into blocks, and each pair of blocks is a unit of its own, so a centre with any number of members is spread over tasks that each hold two blocks. A pair that shares several centres counts at the least one.
     """
     spark = stars.sparkSession
     named = stars.select(F.xxhash64("centre").alias("centre"), "vid")
     of = named.groupBy("vid").agg(F.collect_set("centre").alias("centres"))  # one for each tree and length at most
     members = cut(named.distinct().join(sets.select("vid", "copies", F.length("grams").alias("bytes")), "vid"))
-    blocks = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks")).where("n > 1")
+    blocks = cut(members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks")).where("n > 1"))
     placed = members.join(blocks, "centre").select("centre", "vid", "blocks", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("blocks").cast("long")).cast("int").alias("block"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     units = placed.select("centre", "vid", "block", unit.alias("unit")).select("centre", "unit.i", "unit.j", "vid", "block")
     full = units.join(sets.join(of, "vid"), "vid").select("centre", "i", "j", "vid", "block", "copies", "centres", "grams")
     dealt = full.repartition(partitions(spark), "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return dealt.mapInArrow(_linked(threshold), "vid binary, root binary, weight long")
+    return arrow_map(dealt, _linked(threshold), "vid binary, root binary, weight long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,14 +194,14 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, threshold: float = 0.8, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
     """One row per row of df: id_col, class_id, n_links, n_copies.
 
-    Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words, itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
+    Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes, common.digests; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words (128 bits of a cryptographic hash), itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
 
     1. Signatures of trees x longest MinHash values; each tree is a band. Rows are grouped once by the first values of each band, of one length for all rows: the longest by which a pair at the threshold meets in some band with probability recall; this is the only loss. No trie is walked: every pair that a longer prefix joins is joined by this one too, and a walk that stops at a longer match would miss links.
     2. Members of a bucket of equal prefixes all get its least member as a centre: linear in the bucket, and two members of any bucket share a centre.
     3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sketched = cut(base.mapInArrow(_sketches(trees, longest, size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
+    sketched = cut(arrow_map(base, _sketches(trees, longest, size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
     blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
@@ -212,12 +209,12 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     d = shortest(threshold, trees, longest, recall)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = vertices.select("vid", "labels", tree.alias("tree")).select("vid", "tree", F.expr(f"substring(labels, tree * {2 * longest} + 1, {2 * d})").alias("prefix"))
-    met = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("centre")).where("m > 1").drop("m")
+    met = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("centre")).where("m > 1").drop("m"))
     stars = cut(rows.join(met, ["tree", "prefix"]).select("centre", "vid").distinct())
 
     wanted = cut(stars.select("vid").distinct().join(vertices.select("vid", F.col("least").alias("id"), "copies"), "vid"))
     texts = base.join(wanted.select("id").distinct(), base["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_shingle_sets(size), "vid binary, grams binary").dropDuplicates(["vid"])
+    sets = arrow_map(texts, _shingle_sets(size), "vid binary, grams binary").dropDuplicates(["vid"])
     sets = cut(sets.join(wanted.select("vid", "copies"), "vid"))
     found = cut(_compared(stars, sets, threshold))
 
@@ -225,7 +222,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     roots = components(found.select(F.col("vid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "vid")
     counted = vertices.select("vid", "least", "copies").join(roots, "vid", "left").join(linked, "vid", "left")
     counted = cut(counted.select("vid", F.coalesce("root", "vid").alias("root"), "least", F.col("copies").alias("n_copies"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")))
-    classes = counted.groupBy("root").agg(F.min("least").alias("class_id"))
+    classes = cut(counted.groupBy("root").agg(F.min("least").alias("class_id")))
     result = counted.join(classes, "root").select("vid", "class_id", "n_links", "n_copies")
     out = sketched.where("vid IS NOT NULL").select("id", "vid").join(result, "vid").select("id", "class_id", "n_links", "n_copies")
     return out.unionByName(blank).withColumnRenamed("id", id_col)

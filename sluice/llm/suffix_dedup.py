@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _tables, cut, mix, partitions, text_bytes
+from .common import arrow_map, cut, digests, mix, partitions, stream, text_bytes
 from .suffixes import HELD, repeated
 
 LENGTH, ANCHOR = 200, 32
@@ -22,21 +22,36 @@ SPAN, SHARD = 1 << 19, 1 << 19
 #: Bytes of differing stretches around one anchor beyond which its strings are dealt out one by one instead of sorted in one shard.
 HOT = 1 << 23
 #: Stretches whose strings are hashed at once.
-ROWS = 4096
+ROWS = 512
 #: Places of a table by which documents that have something to fetch are told from most others: 1 MB, whatever the input.
 SLOTS = 1 << 23
 
 
+_BYTE = stream(1, 256)
+_P = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A rolling hash of the k bytes from each place on: it only chooses anchors, so a collision merely puts two of them into one shard."""
+    n = len(data)
+    if not _powers or len(_powers[0]) <= n:
+        longest = max(n, SPAN) + 1
+        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(longest - 1, p, np.uint64))) for p in (_P, pow(_P, -1, 2**64))]
+    power, inverse = _powers
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    return mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+
+
 def _anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts that share an anchor: first and last start, the anchor's hash, and the hash of the whole stretch with the anchor's place in it. ends: for each byte, where its document ends."""
+    """Runs of string starts that share an anchor: first and last start, the anchor's hash, and 128 bits of hash of the whole stretch with the anchor's place in it. ends: for each byte, where its document ends."""
     n = len(data)
     none = np.zeros(0, np.int64)
+    nothing = (none, none, *([none.astype(np.uint64)] * 3))
     if n < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    power, inverse = _tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    grams = mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+        return nothing
+    grams = _grams(data, k)
     low = np.uint64((1 << 20) - 1)
     key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     w = length - k + 1
@@ -49,15 +64,15 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[n
     at = (np.minimum(ahead[:starts], back[w - 1 : w - 1 + starts]) & low).astype(np.int64)
     valid = np.flatnonzero(np.arange(starts) + length <= ends[:starts])
     if not len(valid):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     at = at[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(valid)) - 1
     i, j, at = valid[first], valid[last], at[first]
-    stretch = (total[j + length] - total[i]) * inverse[i]
-    return i, j, grams[at], mix(stretch + mix(((at - i) << 32 | (j - i)).astype(np.uint64)))
+    place = mix(((at - i) << 32 | (j - i)).astype(np.uint64))
+    return i, j, grams[at], *(mix(digests(data, i, j + length, lane) + place) for lane in (0, 1))
 
 
 def _documents(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -69,10 +84,10 @@ def _documents(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> It
         for a in range(begin, max(begin + 1, end - length + 1), SPAN - length + 1) if hi == lo + 1 else (begin,):
             b = min(end, a + SPAN) if hi == lo + 1 else end
             row = np.repeat(np.arange(lo, hi), np.diff(np.clip(offsets[lo : hi + 1], a, b)))
-            i, j, anchor, stretch = _anchors(data[a:b], np.minimum(offsets[row + 1], b) - a, length, k)
+            i, j, *hashes = _anchors(data[a:b], np.minimum(offsets[row + 1], b) - a, length, k)
             if len(i):
                 own = row[i]
-                yield own, i + a - offsets[own], j + a - offsets[own], anchor, stretch
+                yield own, i + a - offsets[own], j + a - offsets[own], *hashes
         lo = hi
 
 
@@ -80,11 +95,10 @@ def _find(length: int, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = text_bytes(batch.column(2))
-            for row, i, j, anchor, stretch in _documents(data, offsets, length, k):
+            for row, i, j, *hashes in _documents(data, offsets, length, k):
                 own = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))], ["id", "print", "i", "j", "anchor", "stretch"]
-                )
+                places = [pa.array(x.astype(np.int32)) for x in (i, j)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *places, *(pa.array(x.view(np.int64)) for x in hashes)], ["id", "print", "i", "j", "anchor", "stretch", "twin"])
 
     return run
 
@@ -108,24 +122,21 @@ def _fetch(length: int):
 
 
 def _strings(length: int):
-    """Like _fetch, then each stretch's strings: a row for each start, with the string's hash."""
+    """Like _fetch, then each stretch's strings: a row for each start, with 128 bits of the string's hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _fetch(length)(it):
             for lo in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(lo, ROWS)
                 data, offsets = text_bytes(batch.column(5))
-                power, inverse = _tables(len(data) + 1)
-                total = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
                 per = np.diff(offsets) - length + 1
                 row = np.repeat(np.arange(batch.num_rows), per)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
                 at = offsets[row] + step
-                string = mix((total[at + length] - total[at]) * inverse[at])
+                string, twin = (pa.array(digests(data, at, at + length, lane).view(np.int64)) for lane in (0, 1))
                 own = pa.array(row)
                 begin = pa.array((np.asarray(batch.column(2))[row] + step).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), begin, batch.column(3).take(own), batch.column(4).take(own), pa.array(string.view(np.int64))], ["id", "print", "begin", "anchor", "n", "string"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), begin, batch.column(3).take(own), batch.column(4).take(own), string, twin], ["id", "print", "begin", "anchor", "n", "string", "twin"])
 
     return run
 
@@ -212,7 +223,7 @@ def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, print, text, wanted) for documents that hold a stretch of rows: wanted has all of theirs, as many as a document has stretches."""
     wanted = cut(rows.groupBy("id", "print").agg(F.collect_list(F.struct("i", "j", "anchor", "n")).alias("wanted")))
     slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
-    some = docs.select("id", "print", "text", slot).mapInArrow(_some(_slots(wanted), True), "id long, print long, text string")
+    some = arrow_map(docs.select("id", "print", "text", slot), _some(_slots(wanted), True), "id long, print long, text string")
     same = some["id"].eqNullSafe(wanted["id"]) & (some["print"] == wanted["print"])
     return some.join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
 
@@ -220,29 +231,31 @@ def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, hot: int = HOT) -> DataFrame:
     """(id, print, spans) for documents (id, print, text) that have bytes to remove: spans is an array of (begin, end) in UTF-8 bytes, unmerged.
 
-    1. Strings of length bytes that share an anchor are a stretch. Equal stretches, such as those of copies, are counted by their hash; all of what they cover repeats.
+    1. Strings of length bytes that share an anchor are a stretch. Equal stretches, such as those of copies, are counted by 128 bits of their bytes' hash (common.digests); all of what they cover repeats.
     2. Of each anchor with stretches that differ, one of each is fetched and sorted: external induced sorting within shards by anchor; neighbours that have length bytes in common repeat.
-    3. An anchor whose differing stretches exceed hot bytes, such as a phrase that a third of all documents hold in different surroundings, would be one task's shard. Its strings are dealt out by their hash instead and counted, so they spread over all tasks.
+    3. An anchor whose differing stretches exceed hot bytes, such as a phrase that a third of all documents hold in different surroundings, would be one task's shard. Its strings are dealt out by 128 bits of their hash instead and counted, so they spread over all tasks.
 
     The side of a join that has one row for each key is written first, so adaptive execution finds plain shuffles on both sides and can split a hot anchor or stretch; counts are aggregated on the map side. A shard has fewer than hot bytes more than SHARD; what is beyond held numbers of it is on disk.
     """
     spark = docs.sparkSession
-    found = docs.mapInArrow(_find(length, min(ANCHOR, length)), "id long, print long, i int, j int, anchor long, stretch long")
+    found = arrow_map(docs, _find(length, min(ANCHOR, length)), "id long, print long, i int, j int, anchor long, stretch long, twin long")
     several = cut(found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor"))
     met = cut(found.join(several, "anchor"))
     one = [F.first(c).alias(c) for c in ("id", "print", "i", "j")]  # of one row: all see the same rows in the same order
-    counts = cut(met.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), *one))
-    whole = met.join(counts.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("id", "print", F.col("i").alias("begin"), (F.col("j") + length).alias("end"))
+    same = ["anchor", "stretch", "twin"]
+    counts = cut(met.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *one))
+    whole = met.join(counts.where("n > 1").select(*same), same).select("id", "print", F.col("i").alias("begin"), (F.col("j") + length).alias("end"))
     kinds = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("j") - F.col("i") + length).alias("bytes"))
     kinds = cut(kinds.where("kinds > 1").drop("kinds"))
     one_each = counts.join(kinds, "anchor")
-    stretches = _wanted(docs, one_each.where(F.col("bytes") <= hot)).mapInArrow(_fetch(length), "id long, print long, i int, anchor long, n long, bytes binary")
+    stretches = arrow_map(_wanted(docs, one_each.where(F.col("bytes") <= hot)), _fetch(length), "id long, print long, i int, anchor long, n long, bytes binary")
     dealt = stretches.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    spans = whole.distinct().unionByName(dealt.mapInArrow(_sort(length, held), "id long, print long, begin int, end int"))
+    spans = whole.distinct().unionByName(arrow_map(dealt, _sort(length, held), "id long, print long, begin int, end int"))
     if not kinds.where(F.col("bytes") > hot).isEmpty():
-        strings = _wanted(docs, one_each.where(F.col("bytes") > hot)).mapInArrow(_strings(length), "id long, print long, begin int, anchor long, n long, string long")
-        again = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", "string")
-        single = strings.where("n = 1").join(again, ["anchor", "string"], "left_semi")  # others are whole
+        strings = arrow_map(_wanted(docs, one_each.where(F.col("bytes") > hot)), _strings(length), "id long, print long, begin int, anchor long, n long, string long, twin long")
+        named = ["anchor", "string", "twin"]
+        again = strings.groupBy(*named).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*named)
+        single = strings.where("n = 1").join(again, named, "left_semi")  # others are whole
         spans = spans.unionByName(single.select("id", "print", "begin", (F.col("begin") + length).alias("end")))
     return spans.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
@@ -281,8 +294,8 @@ def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", le
     dealt = docs.select("id", "print", "text", slot)
     kind = "id long, print long, text string"
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    clean = dealt.mapInArrow(_untouched(sent), schema)
-    some = dealt.mapInArrow(_some(sent, True), kind)
+    clean = arrow_map(dealt, _untouched(sent), schema)
+    some = arrow_map(dealt, _some(sent, True), kind)
     same = some["id"].eqNullSafe(spans["id"]) & (some["print"] == spans["print"])
-    touched = some.join(spans, same, "left").select(some["id"], "text", "spans").mapInArrow(_digests, schema)
+    touched = arrow_map(some.join(spans, same, "left").select(some["id"], "text", "spans"), _digests, schema)
     return clean.unionByName(touched).withColumnRenamed("id", id_col)

@@ -238,3 +238,42 @@ def test_stages_keep_columns_of_any_name(spark, k):
         assert got.columns == [*extra, *docs.columns]
         assert all(r[j] == f"{c} {r.doc_id}" for r in got.collect() for j, c in enumerate(extra))
     assert sorted(map(repr, got.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def _thue_morse(n, swap=False):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word.translate(str.maketrans("ab", "ba")) if swap else word
+
+
+def test_words_that_collide_under_polynomial_hashes_differ(spark):
+    """Modulo 2 ** 64, such a word and its complement have one polynomial hash whatever the base."""
+    texts = [_thue_morse(2048), _thue_morse(2048, True), _thue_morse(512), _thue_morse(512, True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in near.jaccard_join(df).collect()}
+    assert all((r.class_id, r.n_links, r.n_copies) == (i, 0, 1) for i, r in got.items())
+    around = ["x" * 40 + t + "y" * 40 for t in texts[:2]]
+    want = _removed([t.encode() for t in around], 200)
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(around)), "doc_id long, text string")).collect():
+        assert r.n_removed == int(want[r.doc_id].sum())
+
+
+def test_recall_on_the_small_tables(spark):
+    """Links found against all pairs, over whole texts."""
+    docs = [(r.doc_id, (r.text or "").split()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in docs if w}
+    by = defaultdict(list)
+    for i, own in sets.items():
+        for gram in own:
+            by[gram].append(i)
+    both = Counter()
+    for ids in by.values():
+        both.update((a, b) for x, a in enumerate(ids) for b in ids[x + 1 :])
+    want = Counter()
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            want.update((a, b))
+    got = {r.doc_id: r.n_links for r in queries.op9_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
+    assert all(n <= want[i] for i, n in got.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0
