@@ -1,4 +1,4 @@
-"""Exact dedup by content sort: range partitions of the normalised text, sorted, neighbours compared in full.
+"""Exact dedup by content sort: range partitions of the normalised text, sorted, neighbours compared in full; hot groups salted.
 
 Main path: DataFrame expressions only.
 """
@@ -14,6 +14,8 @@ from .common import aside, cut, partitions
 DROPPED = " \t\n\x0b\x0c\r"
 #: Characters of a text by which it is dealt out and that its splitters hold.
 HEAD = 32
+#: Parts into which a hot group is salted, a power of two.
+SALTS = 64
 #: Columns that exact_dedup adds.
 MADE = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -32,47 +34,35 @@ def hot_prints(df: DataFrame, print_of: Column, share: int) -> DataFrame:
 def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", share: int = 4) -> DataFrame:
     """df's rows and columns with keep_id, group_size, kept and text_sha256 (of the normalised text).
 
-    Texts are equal when their normalised forms are equal byte for byte; null counts as empty, so null and blank texts are one group. Of each group the row with the most code points in the original text stays, then the one of the smallest id (a null id last); of fully repeated rows exactly one is kept. Columns of df with these names are replaced; none may begin with two underscores.
+    Texts are equal when their normalised forms are equal byte for byte; null counts as empty, so null and blank texts are one group. Of each group the row with the most code points in the original text stays, then the one of the smallest id (a null id last; ids of any type that sorts); of fully repeated rows exactly one is kept. Columns of df with these names are replaced; none may begin with two underscores.
 
-    Sampled splitters range-partition the normalised text by its first HEAD characters and then its fingerprint, so a sample of splitters is small however long texts are, and texts that only begin alike still spread. Each partition is sorted externally by these and the whole normalised text, and a window compares neighbours in full. A group of copies so large that it would fill a good part of a partition is found by its fingerprint's count beforehand; such copies are counted and their best row is found by pre-aggregation on the map side, and only one row a task travels to the sort. There the whole normalised texts are compared, so a colliding fingerprint joins nothing. Members of large groups get the result by a broadcast of one row per large group, of which there are fewer than share * partitions.
+    Sampled splitters range-partition the normalised text by its first HEAD characters and then its fingerprint, so a sample of splitters is small however long texts are, and texts that only begin alike still spread. Each partition is sorted externally by these and the whole normalised text, and a window compares neighbours in full. A group of copies so large that it would fill a good part of a partition is found by its fingerprint's count beforehand and salted: its rows get one of SALTS numbers by which they are range-partitioned too, go through the same sort and comparisons, and each salt's best row and count, of which there are SALTS a group and fewer than share * partitions such groups, are merged and sent back to the rows.
     """
     df, names = aside(df, MADE)
     return _deduped(df, names.get(text, text), names.get(id_col, id_col), share).drop(*names.values())
 
 
 def _deduped(df: DataFrame, text: str, id_col: str, share: int) -> DataFrame:
-    norm, code_points = normalised(F.col(text)), F.coalesce(F.length(text), F.lit(0))
+    norm = normalised(F.col(text))
     prints = hot_prints(df, F.xxhash64(norm), share)
+    hot = not prints.isEmpty()
+    rows = df.withColumn("__norm", norm).withColumn("__print", F.xxhash64("__norm")).withColumn("__len", F.coalesce(F.length(text), F.lit(0)))
+    salt = F.lit(0).cast("long")
+    if hot:
+        rows = rows.join(F.broadcast(prints.withColumn("__hot", F.lit(True))), "__print", "left")
+        salt = F.when(F.col("__hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(salt)
+    rows = rows.withColumn("__salt", salt).withColumn("__head", F.substring("__norm", 1, HEAD))
+    dealt = rows.repartitionByRange(partitions(df.sparkSession), "__head", "__print", "__salt")
+    same = Window.partitionBy("__head", "__print", "__salt", "__norm").orderBy(F.col("__len").desc(), F.col(id_col).isNull(), F.col(id_col))
+    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {"keep_id": F.first(id_col).over(every), "group_size": F.count(F.lit(1)).over(every), "kept": F.row_number().over(same) == 1, "__longest": F.first("__len").over(every)}
+    sorted_ = dealt.withColumns(made).withColumn("text_sha256", F.sha2(F.col("__norm"), 256))
     named = [F.col(c) for c in df.columns]
-    extra = list(MADE)
-    missing = F.col(id_col).isNull()
-
-    def sorted_groups(rows: DataFrame) -> DataFrame:
-        """rows has __norm, __len, __weight and the id."""
-        same = Window.partitionBy("__head", "__print", "__norm").orderBy(F.col("__len").desc(), missing, F.col(id_col))
-        every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return (
-            rows.withColumn("__head", F.substring("__norm", 1, HEAD))
-            .withColumn("__print", F.xxhash64("__norm"))
-            .repartitionByRange(partitions(df.sparkSession), "__head", "__print")
-            .withColumn("keep_id", F.first(id_col).over(every))
-            .withColumn("group_size", F.sum("__weight").over(every))
-            .withColumn("kept", F.row_number().over(same) == 1)
-            .withColumn("text_sha256", F.sha2(F.col("__norm"), 256))
-        )
-
-    if prints.isEmpty():
-        cold = df.select(*named, norm.alias("__norm"), code_points.alias("__len"), F.lit(1).cast("long").alias("__weight"))
-        return sorted_groups(cold).select(*named, *extra)
-    marked = df.withColumn("__print", F.xxhash64(norm))
-    cold = marked.join(F.broadcast(prints), "__print", "left_anti")
-    cold = cold.select(*named, norm.alias("__norm"), code_points.alias("__len"), F.lit(1).cast("long").alias("__weight"))
-    hot = marked.join(F.broadcast(prints), "__print", "left_semi").select(*named, norm.alias("__norm"), code_points.alias("__len"))
-    groups = hot.groupBy("__norm").agg(F.max(F.struct(F.col("__len"), F.when(missing, None).otherwise(-F.col(id_col)).alias("__neg"))).alias("__best"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(groups.select(F.sha2("__norm", 256).alias("text_sha256"), "group_size", (-F.col("__best.__neg")).alias("keep_id"), F.col("__best.__len").alias("__longest")))
-    members = hot.withColumn("text_sha256", F.sha2(F.col("__norm"), 256)).drop("__norm").join(F.broadcast(groups), "text_sha256")
-    ruled = members.withColumn("__first", (F.col("__len") == F.col("__longest")) & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    lost = ruled.where(~F.col("__first")).select(*named, "keep_id", "group_size", F.lit(False).alias("kept"), "text_sha256")
-    best = ruled.where("__first").withColumn("__turn", F.row_number().over(Window.partitionBy("text_sha256").orderBy(id_col)))
-    best = best.select(*named, "keep_id", "group_size", (F.col("__turn") == 1).alias("kept"), "text_sha256")
-    return sorted_groups(cold).select(*named, *extra).unionByName(lost.select(*named, *extra)).unionByName(best.select(*named, *extra))
+    if not hot:
+        return sorted_.select(*named, *MADE)
+    sorted_ = cut(sorted_.select(*named, *MADE, "__salt", "__longest"))
+    best = F.min(F.struct((-F.col("__longest")).alias("less"), F.col("keep_id").isNull().alias("missing"), F.col("keep_id").alias("id"), F.col("__salt").alias("salt")))
+    merged = sorted_.where("__salt > 0 AND kept").groupBy("text_sha256").agg(best.alias("__best"), F.sum("group_size").alias("__size"))
+    whole = sorted_.where("__salt > 0").join(F.broadcast(cut(merged)), "text_sha256")  # one row a hot group
+    whole = whole.select(*named, F.col("__best.id").alias("keep_id"), F.col("__size").alias("group_size"), (F.col("kept") & (F.col("__salt") == F.col("__best.salt"))).alias("kept"), "text_sha256")
+    return sorted_.where("__salt = 0").select(*named, *MADE).unionByName(whole)

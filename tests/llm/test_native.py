@@ -116,3 +116,25 @@ def test_exact_dedup_replaces_columns_of_its_names(spark, share):
     got = exact_dedup.exact_dedup(df, share=share)
     assert got.columns == plain.columns
     assert Counter(got.collect()) == Counter(plain.collect())
+
+
+def test_exact_dedup_takes_any_ids(spark):
+    rows = [(f"id{i:03}", "hot copy" if i % 2 else f"text {i}") for i in range(200)]
+    for make, kind in ((lambda i: i, "string"), (lambda i: -(2**63) + int(i[2:]), "long")):
+        df = spark.createDataFrame([(make(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        for share in (1, 10_000):
+            got = exact_dedup.exact_dedup(df, share=share).collect()
+            hot = [r for r in got if r.text == "hot copy"]
+            assert len(got) == 200 and {r.keep_id for r in hot} == {make("id001")} and [r.doc_id for r in hot if r.kept] == [make("id001")] and {r.group_size for r in hot} == {100}
+
+
+def test_op1_shards_and_slots(spark):
+    got = queries.op1_sharding(spark, SF).collect()
+    by = defaultdict(list)
+    for r in got:
+        assert 0 <= r.shard < 8 and r.grown_shard is None
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert sorted(r.row_number for r in got) == list(range(len(got)))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.row_number)] == sorted(r.doc_id for r in got)
