@@ -9,13 +9,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+from .common import arrow_map
+
+# A quote counts only after "="; a tag or value that isn't closed goes to the page's end. Nothing is read twice.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Fixed values of HTML: how elements nest and which hold no prose.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template".split())
+#: Drawings and formulas, and the elements that end one that isn't closed.
+FOREIGN = frozenset("svg math".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s section article small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -35,23 +41,28 @@ ENDS = {
 }
 SCOPE = frozenset("table td th caption html button object".split())
 #: Elements and words in class, id or role that mark what isn't the article.
-ASIDE = frozenset("nav aside footer button select input menu dialog audio video canvas object embed label".split())
+ASIDE = frozenset("nav aside footer button select input menu dialog audio video canvas object embed label svg math".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-links comment comments commentlist complementary contentinfo cookie cookies consent disclaimer discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification paywall popup promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert".split()
 )
 #: Those of MARKS whose elements often hold more prose than a short article.
 TALK = frozenset("comment comments commentlist discussion disqus recommend recommended related replies reply respond sidebar sidebars widget widgets".split())
+#: Words beside those of MARKS in a name that still says what the element is for: "comment-list", "site-footer", "ad-slot".
+PLAIN = frozenset("area articles aside bar bars block bottom box btn button buttons center column container content fixed full group header heading holder inner item items js left letter line link links list local main middle mobile modal module outer overlay panel placeholder policy post posts primary reader right rail row section secondary shell signup site slot small sticky stories strip sub tab tags text thread top unit user users view wide wrap wrapper zone".split())
+#: Share of linked text, and of the page's unlinked text, by which an element whose name only touches on a mark is left out: much of its text linked, or little text.
+LINKED, LITTLE = 1 / 3, 0.1
 #: Share of the page's unlinked text from which an article element counts as the page's own, and by which alone a page without headings is one element.
 OWN, WHOLE = 0.2, 0.8
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "marks", "chars", "linked", "score")
+    __slots__ = ("tag", "parent", "out", "marks", "weak", "chars", "linked", "score")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, marks: frozenset[str] = frozenset()):
-        self.tag, self.parent, self.out, self.marks = tag, parent, out, marks
+    def __init__(self, tag: str, parent: _Node | None, out: bool, marks: tuple[frozenset[str], bool] = (frozenset(), False)):
+        self.tag, self.parent, self.out = tag, parent, out
+        self.marks, self.weak = marks
         self.chars, self.linked, self.score = 0, 0, 0.0
 
 
@@ -78,10 +89,15 @@ def _is_out(tag: str, attributes: dict[str, str], parent: _Node | None) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
 
 
-def _marks(tag: str, attributes: dict[str, str]) -> frozenset[str]:
-    """The words of MARKS that a form is or that class, id and role hold."""
-    values = " ".join(attributes.get(name, "") for name in ("class", "id", "role"))
-    return frozenset(w.lower() for w in [*_WORD.findall(values), *(["form"] if tag == "form" else [])]) & MARKS
+def _marks(tag: str, attributes: dict[str, str]) -> tuple[frozenset[str], bool]:
+    """The words of MARKS that a form is or that class, id and role hold, and whether they only occur beside other words ("market-share", "related-work"), which says little."""
+    found, weak = {"form"} if tag == "form" else set(), True
+    for name in " ".join(attributes.get(x, "") for x in ("class", "id", "role")).split():
+        own = {w.lower() for w in _WORD.findall(name)}
+        if own & MARKS:
+            found |= own & MARKS
+            weak = weak and not all(w in MARKS or w in PLAIN or w.isdigit() for w in own)
+    return frozenset(found), weak and tag != "form" and bool(found)
 
 
 def _around(node: _Node | None) -> Iterator[_Node]:
@@ -94,21 +110,21 @@ def _around(node: _Node | None) -> Iterator[_Node]:
 def _leave_out(nodes: list[_Node], pieces: list[list | None]) -> list[list | None]:
     """The pieces that stay when marked elements go, which are then out with all they hold.
 
-    A marked element stays if it holds a main element, the article element with most text, or more than half of the page's unlinked text where no article or main element lies elsewhere: a wrapper's name says little. One named by TALK needs, besides, a heading of its own (h1, h2; WHOLE of the text if the page has none).
+    An element whose name only touches on a mark pays with its form: it goes if more than LINKED of its text is linked, or if it has less than LITTLE of the page's unlinked text and no heading. Another marked element stays if it holds a main element, the article element with most text, or more than half of the page's unlinked text where no article or main element lies elsewhere: a wrapper's name says little. One named by TALK needs, besides, a heading of its own (h1, h2; WHOLE of the text if the page has none).
     """
     soft = [n for n in nodes if n.marks and not n.out and n.tag not in ("article", "main") and n.tag not in HEADING]
     if not soft:
         return pieces
-    size, titles, mains = ({id(n): 0 for n in nodes} for _ in range(3))
+    size, linked, titles, heads, mains = ({id(n): 0 for n in nodes} for _ in range(5))
     for piece in pieces:
-        if piece is not None and not piece[2]:
-            size[id(piece[0])] += len("".join(piece[1].split()))
+        if piece is not None:
+            (linked if piece[2] else size)[id(piece[0])] += len("".join(piece[1].split()))
     for n in nodes:
         if not n.out and not n.marks:
-            titles[id(n)], mains[id(n)] = int(n.tag in ("h1", "h2")), int(n.tag == "main")
+            titles[id(n)], heads[id(n)], mains[id(n)] = int(n.tag in ("h1", "h2")), int(n.tag in HEADING), int(n.tag == "main")
     for n in reversed(nodes):  # parents come before what they hold
         if n.parent:
-            for of in (size, titles, mains):
+            for of in (size, linked, titles, heads, mains):
                 of[id(n.parent)] += of[id(n)]
     total = size[id(nodes[0])]
     articles = [n for n in nodes if n.tag in ("article", "main") and not n.out and not n.marks and size[id(n)]]
@@ -124,6 +140,11 @@ def _leave_out(nodes: list[_Node], pieces: list[list | None]) -> list[list | Non
     for n in soft:  # a wrapper comes before what it holds
         k = id(n)
         titled = titles[k] > 0 if titles[id(nodes[0])] else size[k] >= WHOLE * total
+        if n.weak:
+            n.out = linked[k] > LINKED * (linked[k] + size[k]) or (size[k] < LITTLE * total and not heads[k])
+            if not n.out:
+                open_.discard(k)
+            continue
         n.out = not (mains[k] or (not n.marks & TALK or titled) and (k in above or 2 * size[k] > total and not elsewhere(n)))
         if not n.out:
             open_.discard(k)
@@ -155,7 +176,7 @@ def _parse(page: str) -> tuple[list[_Node], list[list]]:
         if raw_end:
             m = re.compile(rf"</{raw_end}[\s/>]", re.I).search(page, at)
             if not m:
-                break
+                break  # as browsers do, all the rest is its content
             at = m.start()
             raw_end = None
         m = _TOKEN.search(page, at)
@@ -166,6 +187,8 @@ def _parse(page: str) -> tuple[list[_Node], list[list]]:
         at = m.end()
         if not m[2]:
             continue
+        if not m[4]:  # the page ends within a tag
+            break
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
@@ -182,8 +205,15 @@ def _parse(page: str) -> tuple[list[_Node], list[list]]:
                 stack.append(_Node("body", root, False))
                 nodes.append(stack[-1])
             continue
-        if tag in RAW:
-            raw_end = tag if not m[3].endswith("/") or tag not in ("svg", "math") else None
+        if tag in ENDS_FOREIGN:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "foreignobject":
+                    break
+                if stack[i].tag in FOREIGN:
+                    close(i)
+                    break
+        if tag in RAW and not any(n.tag in FOREIGN for n in stack[1:]):
+            raw_end = tag
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br":
@@ -309,4 +339,4 @@ def extract(df: DataFrame, column: str = "html") -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in others]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(f.name for f in others), "text", "n_chars"])
 
-    return df.select(*(f.name for f in others), column).mapInArrow(batches, schema)
+    return arrow_map(df.select(*(f.name for f in others), column), batches, schema)
