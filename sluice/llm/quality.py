@@ -154,13 +154,14 @@ def held_out(id_col: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Rules:
     """Rules for label (0 or 1) from the labelled rows that are not held_out.
 
-    At most sample rows, those of the smallest hashes of the id, teach; only their statistics (some 14 numbers each) come to the driver. Label, id and other columns are no inputs of the rules. Null labels and ids teach nothing; an id with several labels or texts teaches each.
+    At most sample rows, those of the smallest hashes of the id, teach; only their statistics (some 14 numbers each) come to the driver. Where ids repeat among docs, of the rows of these ids at most sample teach, by hash and statistics, so the choice doesn't depend on the order of rows. Label, id and other columns are no inputs of the rules. Null labels and ids teach nothing; an id with several labels or texts teaches each.
     """
     taught = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("__label"))
     few = taught.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # a bounded sample, so its broadcast is bounded too
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(few), "__id")
     found = statistics(F.col("__text"))
-    rows = joined.select("__id", "__label", *(c.alias(k) for k, c in found.items())).limit(2 * sample).toPandas()
+    rows = joined.select("__id", "__label", *(c.alias(k) for k, c in found.items()))
+    rows = rows.orderBy(F.xxhash64("__id"), *rows.columns).limit(sample).toPandas()
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
     return fit_rules(list(found), rows[list(found)].to_numpy(float), rows["__label"].to_numpy(float))
 
