@@ -12,11 +12,13 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import aside
+from .common import arrow_map, aside
 
 #: A long text is cut into parts of about this many characters.
 PART = 1 << 16
-#: Where the pattern's matches always end: before white space that follows something else, and where letters and digits meet. No alternative goes on from one to the other, and what looks ahead looks at what follows white space, which stays in one part with it.
+#: Fixed value: the pattern that SAFE is made for. Texts of other patterns are encoded whole.
+KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Where that pattern's matches always end: before white space that follows something else, and where letters and digits meet. No alternative goes on from one to the other, and what looks ahead looks at what follows white space, which stays in one part with it.
 SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 _codecs: dict = {}
 
@@ -27,13 +29,14 @@ class Codec:
     def __init__(self, ranks: str, pattern: str):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+        self.cuts = pattern == KNOWN
         self.tiktoken = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.decimal = {i: str(i) for i in table.values()}
 
     def parts(self, text: str) -> Iterator[str]:
-        """text in parts of PART characters or a little more, cut only at SAFE places."""
+        """text in parts of PART characters or a little more, cut only at SAFE places; whole where the pattern isn't KNOWN."""
         begin = 0
-        while len(text) - begin > PART:
+        while self.cuts and len(text) - begin > PART:
             found = SAFE.search(text, begin + PART)
             if not found:
                 break
@@ -57,11 +60,12 @@ def codec(ranks: str, pattern: str) -> Codec:
     return _codecs[ranks, pattern]
 
 
-def _rows(df: DataFrame, text: str, made: dict[str, str], per_text, ranks: str, pattern: str) -> DataFrame:
-    """df with the columns made, per_text(codec, text) of each row."""
+def _rows(df: DataFrame, text: str, made: dict[str, str], per_text, ranks: str, pattern: str, keep: bool = True) -> DataFrame:
+    """df with the columns made, per_text(codec, text) of each row; without text, which then doesn't travel back, unless keep."""
     df, names = aside(df, made)
     text = names.get(text, text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} {v}" for k, v in made.items()])
+    back = [c for c in df.columns if keep or c != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in back] + [f"{k} {v}" for k, v in made.items()])
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +74,9 @@ def _rows(df: DataFrame, text: str, made: dict[str, str], per_text, ranks: str,
             column = batch.column(batch.schema.get_field_index(text))
             rows = [per_text(own, x.as_py() or "") for x in column]
             new = [pa.array([r[i] for r in rows], kinds[v]) for i, v in enumerate(made.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in back), *new], [*back, *made])
 
-    return df.mapInArrow(batches, schema).drop(*names.values())
+    return arrow_map(df, batches, schema).drop(*names.values())
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
@@ -92,7 +96,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFra
             new = pa.array([own.decode(x.as_py() or []) for x in batch.column(batch.schema.get_field_index(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(batches, schema).drop(*names.values())
+    return arrow_map(df, batches, schema).drop(*names.values())
 
 
 def _digest(c: Codec, text: str, keep: bool = False) -> tuple:
@@ -110,7 +114,7 @@ def _digest(c: Codec, text: str, keep: bool = False) -> tuple:
     return (*found, np.concatenate(kept)) if keep else found
 
 
-def digest(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
-    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of each whole text, encoded and decoded again, and with the ids themselves if asked for; null is empty. Map only. Columns of df with these names are replaced."""
+def digest(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False, keep: bool = True) -> DataFrame:
+    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of each whole text, encoded and decoded again, and with the ids themselves if asked for; null is empty. The text column comes back if keep. Map only. Columns of df with these names are replaced."""
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if ids else {})
-    return _rows(df, text, made, lambda c, x: _digest(c, x, ids), ranks, pattern)
+    return _rows(df, text, made, lambda c, x: _digest(c, x, ids), ranks, pattern, keep)

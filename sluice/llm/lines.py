@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, cut
+from .common import arrow_map, aside, cut
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
 #: Registers of a sketch as a power of two, and how many standard errors around the threshold count as near.
 REGISTERS, ERRORS = 8, 4
-#: Boilerplate lines up to this many are sent to every worker (8 bytes each); beyond, lines are joined by a shuffle.
+#: Boilerplate lines up to this many are sent to every worker (some 100 bytes each); beyond, lines are joined by a shuffle.
 BROADCAST = 200_000
 #: Columns that dedup_lines adds.
 MADE = ("kept_text", "n_lines", "n_removed")
 
 
+#: White space that a blank line may hold.
+BLANK = " \t\x0b\x0c\r"
+
+
+def _key(line: Column | str) -> Column:
+    """128 bits of a line's SHA-256: lines of equal keys are taken for equal."""
+    return F.substring(F.unhex(F.sha2(line, 256)), 1, 16)
+
+
 def _lines(df: DataFrame, text: str, site: str) -> DataFrame:
     lines = df.select(F.explode(F.split(F.col(text), "\n")).alias("line"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"))
-    return lines.where(F.trim("line") != "").select(F.xxhash64("line").alias("line"), "site")
+    return lines.where(F.translate("line", BLANK, "") != "").select(_key("line").alias("line"), "site")
 
 
 def boilerplate(df: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
-    """The 64-bit hashes of the lines that occur on sites distinct sites or more.
+    """The 128-bit hashes of the lines that occur on sites distinct sites or more.
 
-    One HyperLogLog sketch of sites for each line hash, merged by aggregation (partly on the map side, so a line that holds a third of all rows costs one sketch a task). Where the estimate is farther from the threshold than ERRORS standard errors it decides; the lines nearer than that are counted exactly. A null site is one site. Blank lines are never boilerplate.
+    One HyperLogLog sketch of sites for each line hash, merged by aggregation (partly on the map side, so a line that holds a third of all rows costs one sketch a task). Where the estimate is farther from the threshold than ERRORS standard errors it decides; the lines nearer than that are counted exactly. A null site is one site. Lines of white space alone are never boilerplate.
     """
     lines = _lines(df, text, site)
     margin = ERRORS * 1.04 / 2 ** (REGISTERS / 2)
@@ -50,7 +59,7 @@ def _without(gone, at: int, names: list[str]):
             for x in batch.column(at):
                 text = x.as_py()
                 lines = [] if text is None else text.split("\n")
-                kept = [s for s in lines if xxhash.xxh64_intdigest(s.encode(), 42) not in drop]
+                kept = [s for s in lines if hashlib.sha256(s.encode()).digest()[:16] not in drop]
                 texts.append(None if text is None else "\n".join(kept))
                 total.append(len(lines))
                 removed.append(len(lines) - len(kept))
@@ -74,12 +83,12 @@ def _rewritten(df: DataFrame, text: str, site: str, sites: int, broadcast: int)
     gone = boilerplate(df, text, site, sites)
     spark = df.sparkSession
     if gone.count() <= broadcast:
-        sent = spark.sparkContext.broadcast(frozenset(r[0] % 2**64 for r in gone.collect()))  # broadcast x 8 bytes at most
+        sent = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in gone.collect()))  # broadcast rows at most
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["kept_text string", "n_lines long", "n_removed long"])
-        return df.mapInArrow(_without(sent, df.columns.index(text), df.columns), schema)
+        return arrow_map(df, _without(sent, df.columns.index(text), df.columns), schema)
     rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
     lines = F.split(F.col(text), "\n")
-    each = rows.select("__row", F.posexplode(lines).alias("__at", "__text")).select("__row", "__at", F.xxhash64("__text").alias("line"))
+    each = rows.select("__row", F.posexplode(lines).alias("__at", "__text")).select("__row", "__at", _key("__text").alias("line"))
     dropped = each.join(gone, "line", "left_semi").groupBy("__row").agg(F.collect_list("__at").alias("__gone"))
     joined = rows.join(dropped, "__row", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))

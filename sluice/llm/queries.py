@@ -22,7 +22,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
+    return bpe.digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=False)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ ORACLE = {
     "op5_line_dedup": """
         WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
                    FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT line FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+        b AS (SELECT line FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
         k AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.line = b.line)
         SELECT d.doc_id, count(k.i) AS n_lines, count(*) FILTER (k.gone) AS n_removed,
                sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (NOT k.gone), '')) AS kept_sha256

@@ -324,3 +324,131 @@ def test_op3_and_the_stage_against_the_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     clean = {r.doc_id for r in docs.collect()} - {d for d, _ in want}
     assert clean and {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, SF).collect()} == clean
+
+
+def test_digests_tell_runs_apart():
+    rng = random.Random(12)
+    runs = [bytes(rng.choice(b"ab") for _ in range(n)) for n in [*range(40), 1023, 1024, 1025, 3000] for _ in range(3)]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    ends = np.cumsum([len(r) for r in runs])
+    starts = ends - [len(r) for r in runs]
+    for lane in (0, 1):
+        found = common.digests(data, starts, ends, lane)
+        seen = {}
+        for r, h in zip(runs, found.tolist(), strict=True):
+            assert seen.setdefault(r, h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_blank_lines_stay(spark, broadcast):
+    text = "own %d\r\n\r\n\t\nshared\r"
+    df = spark.createDataFrame([(i, text % i, f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    for r in lines.dedup_lines(df, broadcast=broadcast).collect():
+        assert (r.kept_text, r.n_lines, r.n_removed) == (f"own {r.doc_id}\r\n\r\n\t", 4, 1)
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for piece in ("<a '", '<a "', "<a ", '<a b="', "<a b='", "<!--", "<svg", "<svg>", "<", "</", "<p><a x=", "<script>"):
+        page = "<p>Words, and more.</p>" + piece * ((1 << 20) // len(piece))
+        began = time.perf_counter()
+        assert html.main_text(page).startswith("Words, and more.")
+        assert time.perf_counter() - began < 20, piece
+
+
+@pytest.mark.parametrize("name", ['id="search-algorithms"', 'id="related-work"', 'id="market-share"', 'class="ad-hoc"', 'class="tags-page"'])
+def test_names_that_touch_on_a_mark_stay(name):
+    part = "<h2>Head</h2><p>" + "Prose, with commas, and a good many words in it. " * 6 + "</p>"
+    page = f"<body><article><h1>T</h1>{part}<section {name}>{part}</section></article><div {name}><a href=/>One link</a> <a href=/>Another</a></div></body>"
+    text = " ".join(("Prose, with commas, and a good many words in it. " * 6).split())
+    assert html.main_text(page) == f"T\nHead\n{text}\nHead\n{text}"
+
+
+def test_drawings_are_elements():
+    rest = "<p>Prose, with commas, and words.</p><p>And more of it, to be sure.</p>"
+    text = "Prose, with commas, and words.\nAnd more of it, to be sure."
+    for part in ("<svg><title>no</title><text>no</text></svg>", "<svg viewBox='0 0 1 1'>", "<svg/>", "<math><mi>x</mi></math>", "<svg><g><path d='M0'>"):
+        assert html.main_text(f"<article>{part}{rest}</article>") == text
+
+
+def test_other_patterns_are_encoded_whole(monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 40)
+    assert public_tokenizers.PATTERN == bpe.KNOWN
+    other = r"[^\s]+\s*|\s+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    own, plain_ = bpe.Codec(RANKS, other), tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    text = "words, and\n\nmore of them. " * 20
+    assert list(own.encode(text)) == plain_.encode_ordinary(text)
+
+
+def test_shared_seeds_and_blocks_agree(spark):
+    rng = random.Random(13)
+    phrase = "what is the name of the one that".split()
+    items = [[*phrase, *(rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.randint(4, 20)))] for _ in range(40)]
+    docs = [[*(phrase * rng.randint(0, 3)), *(rng.choice(items) if rng.random() < 0.5 else phrase), "end"] for _ in range(40)]
+    frame = spark.createDataFrame([(i % 30, ",".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    runs = [sorted(map(repr, decontaminate.find_leaks(frame, tests, held=held).collect())) for held in (200_000, 100)]
+    assert runs[0] == runs[1] and len(runs[0]) == 40
+    got = decontaminate.find_leaks(frame, tests).collect()
+    for r in got:
+        doc = r.text.split(",")
+        for k, item in enumerate(items):
+            want, found = _leak(doc, item), next((x for x in r.leaks if x.item_id == k), None)
+            assert (found is not None) == (want is not None) or want < 11
+            if found:
+                assert found.n_equal <= want and found.n_equal >= 0.8 * found.n_words and 0 <= found.start <= len(doc) - found.n_words
+
+
+def test_long_texts(spark):
+    long = "word%d, " * 1 % 1 + " ".join(f"w{k % 977}" for k in range(200_000))
+    df = spark.createDataFrame([(1, f"{long}\n{LEAK}\n{long}", "a"), (2, f"{LEAK}\nx", "b")], "doc_id long, text string, source string")
+    tests = spark.createDataFrame([(7, LEAK)], "item_id long, text string")
+    assert all([x.item_id for x in r.leaks] == [7] for r in decontaminate.find_leaks(df, tests).collect())
+    got = {r.doc_id: r for r in lines.dedup_lines(df, sites=2).collect()}
+    assert got[1].kept_text == f"{long}\n{long}" and got[2].kept_text == "x"
+    page = spark.createDataFrame([("<article>" + f"<p>{long}</p>" * 2 + "</article>",)], "html string")
+    assert html.extract(page).first().text == f"{long}\n{long}"
+
+
+def _plain_statistics(text):
+    """statistics() in plain Python."""
+    text = text or ""
+    n = max(len(text), 1)
+    words = regex.split(r"[ \t\n\x0b\f\r]+", text.strip(" "))
+    lines_ = text.split("\n")
+    among = lambda s: sum(c in s for c in text)
+    return {
+        "chars": len(text), "words": len(words), "word_chars": n / len(words), "distinct_words": len(set(words)) / len(words), "distinct_lines": len(set(lines_)) / len(lines_), "line_chars": n / len(lines_),
+        "capitals": among("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ") / n, "digits": among("0123456789") / n, "symbols": among("#$%&*@^~=+_<>{}[]\\/") / n,
+        "exclamations": text.count("!") / len(words), "bars": text.count("|") / len(words), "commas": text.count(",") / len(words), "stops": text.count(".") / len(words),
+    }
+
+
+def test_op6_against_plain_statistics_and_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.learn(docs, labels)
+    found = quality.statistics(F.col("text"))
+    rows = {r.doc_id: r for r in docs.select("doc_id", "text", *(c.alias(k) for k, c in found.items())).collect()}
+    scores = {r.doc_id: r for r in queries.op6_quality(spark, sf).collect()}
+    for i, r in rows.items():
+        for k, v in _plain_statistics(r.text).items():
+            assert r[k] == pytest.approx(v, abs=1e-9), (i, k)
+        odds = rules.base + sum(x.weight for x in rules.rules if all((r[n] > b) == above for n, above, b in x.terms))
+        assert scores[i].score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
+    held = [(scores[r.doc_id].score, r.quality) for r in labels.collect() if r.doc_id in scores and scores[r.doc_id].held_out]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    assert len(bad) >= 5
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / len(good) / len(bad) > 0.95
+    assert sum(s < 0.5 for s in bad) / len(bad) > 0.8 and sum(s >= 0.5 for s in good) / len(good) > 0.95
+
+
+def test_learning_bounds_repeated_ids(spark):
+    df = spark.createDataFrame([(i % 3, f"text {i} " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    runs = [quality.learn(df.repartition(k), labels, sample=50) for k in (1, 5)]
+    assert runs[0] == runs[1]
