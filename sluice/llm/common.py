@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are hashed at once, so that the arrays stay in the processor's cache.
 SPAN = 1 << 20
+#: Bytes of rows that a Python worker gets and works on at once; a longer row is a batch of its own.
+BATCH = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +27,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers live on between stages, and what they keep adds up with the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema). Python workers find this package where it is installed, or at the driver's place, whichever frame df is."""
+    """df.mapInArrow(run, schema) with bounded memory: batches come in slices of BATCH bytes, and workers return what they freed.
+
+    Spark's own batches are bounded likewise where the session leaves that setting alone. Python workers find this package where it is installed, or at the driver's place.
+    """
     spark = df.sparkSession
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [environment.get("PYTHONPATH")])])
-    return df.mapInArrow(run, schema)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH))
+
+    def sliced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // BATCH)))
+            for lo in range(0, batch.num_rows, rows):
+                yield batch.slice(lo, rows)
+
+    def bounded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(sliced(it))
+        finally:
+            _release()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside
+from .common import _release, aside
 
 #: At most this many labelled rows are gathered to fit the rules.
 SAMPLE = 12_000
@@ -128,15 +128,17 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 5) ->
     kept = list(paths)
     if not kept:
         return Rules(float(np.log(y.mean() / (1 - y.mean()))), ())
-    a = np.stack([holds(p) for p in kept], 1).astype(float)
+    a = np.empty((len(y), len(kept)), np.float32)  # at most sample x rules
+    for j, path in enumerate(kept):
+        a[:, j] = holds(path)
     # Accelerated proximal gradient; the intercept is not penalised.
-    step = 4.0 / (float(np.linalg.eigvalsh(a.T @ a)[-1]) / len(y) + 1)
+    step = 4.0 / (float(np.linalg.eigvalsh((a.T @ a).astype(float))[-1]) / len(y) + 1)
     w = z = np.zeros(a.shape[1])
     b = c = float(np.log(y.mean() / (1 - y.mean())))
     t = 1.0
     for _ in range(STEPS):
-        rest = 1 / (1 + np.exp(-(a @ z + c))) - y
-        new = z - step * (a.T @ rest) / len(y)
+        rest = 1 / (1 + np.exp(-(a @ z.astype(np.float32) + c).astype(float))) - y
+        new = z - step * (a.T @ rest.astype(np.float32)).astype(float) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - step * LASSO, 0)
         new_b = c - step * rest.mean()
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -163,7 +165,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     rows = joined.select("__id", "__label", *(c.alias(k) for k, c in found.items()))
     rows = rows.orderBy(F.xxhash64("__id"), *rows.columns).limit(sample).toPandas()
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
-    return fit_rules(list(found), rows[list(found)].to_numpy(float), rows["__label"].to_numpy(float))
+    rules = fit_rules(list(found), rows[list(found)].to_numpy(float), rows["__label"].to_numpy(float))
+    _release()
+    return rules
 
 
 def score(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
