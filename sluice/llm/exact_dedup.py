@@ -47,13 +47,14 @@ def _deduped(df: DataFrame, text: str, id_col: str, share: int) -> DataFrame:
     prints = hot_prints(df, F.xxhash64(norm), share)
     hot = not prints.isEmpty()
     rows = df.withColumn("__norm", norm).withColumn("__print", F.xxhash64("__norm")).withColumn("__len", F.coalesce(F.length(text), F.lit(0)))
-    salt = F.lit(0).cast("long")
+    rows = rows.withColumn("__head", F.substring("__norm", 1, HEAD))
+    by = ["__head", "__print"]  # no constant among them: the window would not see that rows are dealt out by its keys, and shuffle them again
     if hot:
         rows = rows.join(F.broadcast(prints.withColumn("__hot", F.lit(True))), "__print", "left")
-        salt = F.when(F.col("__hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(salt)
-    rows = rows.withColumn("__salt", salt).withColumn("__head", F.substring("__norm", 1, HEAD))
-    dealt = rows.repartitionByRange(partitions(df.sparkSession), "__head", "__print", "__salt")
-    same = Window.partitionBy("__head", "__print", "__salt", "__norm").orderBy(F.col("__len").desc(), F.col(id_col).isNull(), F.col(id_col))
+        salt = F.when(F.col("__hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+        rows, by = rows.withColumn("__salt", salt), [*by, "__salt"]
+    dealt = rows.repartitionByRange(partitions(df.sparkSession), *by)
+    same = Window.partitionBy(*by, "__norm").orderBy(F.col("__len").desc(), F.col(id_col).isNull(), F.col(id_col))
     every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     made = {"keep_id": F.first(id_col).over(every), "group_size": F.count(F.lit(1)).over(every), "kept": F.row_number().over(same) == 1, "__longest": F.first("__len").over(every)}
     sorted_ = dealt.withColumns(made).withColumn("text_sha256", F.sha2(F.col("__norm"), 256))
