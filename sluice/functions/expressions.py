@@ -15,8 +15,9 @@ def event_time(text: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """A sum that doesn't depend on the order of rows: to four decimals, added as decimals."""
-    return F.sum(value.cast("decimal(18,4)")).cast("double")
+    """A sum that doesn't depend on the order of rows: each value to twelve decimals, added as decimals of up to 26 whole digits. A value beyond that makes the sum one of doubles."""
+    wide = value.cast("double").try_cast("decimal(38,12)")
+    return F.when(F.count(value) == F.count(wide), F.try_sum(wide).cast("double")).otherwise(F.sum(value.cast("double")))
 
 
 def rounded(value: Column, places: int = 2) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +11,15 @@ ROWS, DAYS, PAYLOADS = 1_000_000, 365, 8
 
 
 def replicate(df: DataFrame, rows: int = ROWS, key: str = "event_id", time: str = "event_timestamp") -> DataFrame:
-    """About enough copies of df for rows (whole copies), each with its replica_id, a key made unique by it and a time moved by replica_id % DAYS days.
+    """Exactly rows rows (none of an empty df): as many whole copies of df as fit and some of its rows once more, each with its replica_id, a key made unique by it and a time moved by replica_id % DAYS days.
 
-    Copies come from exploding a sequence in each row: no join and no shuffle. limit(rows) on top gives an exact count.
+    Copies come from exploding a sequence in each row: no join and no shuffle. Only the rest, fewer rows than df has, goes through a limit.
     """
     n = df.count()
-    copies = ceil(rows / n) if n else 0
+    copies, rest = divmod(rows, n) if n else (0, 0)
     each = df.withColumn("replica_id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)) if copies else F.array().cast("array<int>")))
+    if rest:
+        each = each.unionByName(df.limit(rest).withColumn("replica_id", F.lit(copies)))
     return each.withColumn(key, F.concat(F.col(key), F.lit("_r"), F.col("replica_id").cast("string"))).withColumn(time, F.timestamp_add("DAY", F.col("replica_id") % DAYS, F.col(time)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The attributes of a version that consumers read, in their order.
 ATTRIBUTES = ("customer_id", "customer_name", "segment", "service_zone_id", "email", "phone", "address_line1", "city", "state", "postal_code", "account_status")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Zones are sent to all tasks if their file is at most this large; the check is the planner's own, by size.
+#: How far apart a reading and an outage may be, and how late rows of a stream may come.
 REACH = "6 HOURS"
 DELAY = "2 days"
 ZONE_COLUMNS = {"zone_name": "zone_name", "city": "zone_city", "state": "zone_state", "pressure_band": "pressure_band", "service_priority": "service_priority", "centroid_latitude": "centroid_latitude", "centroid_longitude": "centroid_longitude"}
@@ -33,18 +33,18 @@ def match_outages(readings: DataFrame, outages: DataFrame, reach: str = REACH, d
     left, right = _sides(readings, outages)
     if readings.isStreaming or outages.isStreaming:
         left = readings.withColumn("meter_event_timestamp", F.col("event_timestamp")).withWatermark("meter_event_timestamp", delay).alias("meter")
-        right = outages.withWatermark("outage_timestamp", delay).alias("outage")
-    on = F.expr(f"meter.meter_id = outage.meter_id AND outage.outage_timestamp >= meter.meter_event_timestamp - INTERVAL {reach} AND outage.outage_timestamp <= meter.meter_event_timestamp + INTERVAL {reach}")
+        right = outages.withWatermark("outage_event_timestamp", delay).alias("outage")
+    on = F.expr(f"meter.meter_id = outage.meter_id AND outage.outage_event_timestamp >= meter.meter_event_timestamp - INTERVAL {reach} AND outage.outage_event_timestamp <= meter.meter_event_timestamp + INTERVAL {reach}")
     return _matched(left.join(right, on, "inner"))
 
 
 def match_outages_bucketed(readings: DataFrame, outages: DataFrame, hours: int = 6) -> DataFrame:
-    """The same pairs for batches, by meter and slice of time: a meter with a large part of all rows is spread over its time slices, and a pair is compared only within neighbouring ones."""
+    """The same pairs for batches, by meter and slice of time: a meter with a large part of all rows is spread over its time slices, and a pair is compared only within neighbouring ones. Outages, the fewer rows, are those repeated for neighbouring slices."""
     seconds = hours * 3600
     left, right = _sides(readings, outages)
-    left = left.withColumn("__slice", F.explode(F.array(*(F.floor(F.unix_timestamp("meter_event_timestamp") / seconds) + k for k in (-1, 0, 1))))).alias("meter")
-    right = right.withColumn("__slice", F.floor(F.unix_timestamp("outage_timestamp") / seconds)).alias("outage")
-    on = F.expr(f"meter.meter_id = outage.meter_id AND meter.__slice = outage.__slice AND outage.outage_timestamp >= meter.meter_event_timestamp - INTERVAL {hours} HOURS AND outage.outage_timestamp <= meter.meter_event_timestamp + INTERVAL {hours} HOURS")
+    left = left.withColumn("__slice", F.floor(F.unix_timestamp("meter_event_timestamp") / seconds)).alias("meter")
+    right = right.withColumn("__slice", F.explode(F.array(*(F.floor(F.unix_timestamp("outage_event_timestamp") / seconds) + k for k in (-1, 0, 1))))).alias("outage")
+    on = F.expr(f"meter.meter_id = outage.meter_id AND meter.__slice = outage.__slice AND outage.outage_event_timestamp >= meter.meter_event_timestamp - INTERVAL {hours} HOURS AND outage.outage_event_timestamp <= meter.meter_event_timestamp + INTERVAL {hours} HOURS")
     return _matched(left.join(right, on, "inner"))
 
 
@@ -59,9 +59,9 @@ def _matched(joined: DataFrame) -> DataFrame:
         "meter.usage_value",
         "meter.pressure_psi",
         "outage.outage_id",
-        F.col("outage.event_type").alias("outage_type"),
-        "outage.severity",
-        "outage.outage_timestamp",
-        "outage.resolved_timestamp",
+        "outage.outage_event_type",
+        "outage.outage_severity",
         "outage.estimated_duration_minutes",
+        "outage.outage_event_timestamp",
+        "outage.resolved_timestamp",
     )

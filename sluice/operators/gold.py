@@ -1,4 +1,4 @@
-"""The published aggregates, as functions of tables."""
+"""The published aggregates, as functions of tables. Names of their columns are fixed values: consumers read them."""
 
 from __future__ import annotations
 
@@ -27,21 +27,21 @@ def suspicious() -> Column:
 def leak_risk_by_zone(readings: DataFrame) -> DataFrame:
     """Suspicious water readings by day and zone; the level follows from the rounded rate."""
     water = readings.where(F.col("meter_type") == "water")
-    counted = water.groupBy(F.to_date("event_timestamp").alias("usage_date"), "service_zone_id", "zone_name").agg(F.count(F.lit(1)).alias("water_reading_count"), count_if(suspicious()).alias("suspicious_reading_count"))
-    rated = counted.withColumn("suspicious_rate_pct", percentage(F.col("suspicious_reading_count"), F.col("water_reading_count")))
+    counted = water.groupBy(F.to_date("event_timestamp").alias("usage_date"), "service_zone_id", "zone_name").agg(F.count(F.lit(1)).alias("water_readings"), count_if(suspicious()).alias("suspicious_readings"))
+    rated = counted.withColumn("suspicious_rate_pct", percentage(F.col("suspicious_readings"), F.col("water_readings")))
     rate = F.col("suspicious_rate_pct")
     return rated.withColumn("leak_risk_level", F.when(rate >= HIGH_RATE, "high").when(rate >= MEDIUM_RATE, "medium").otherwise("low"))
 
 
 def outage_sla(matches: DataFrame) -> DataFrame:
     """Each matched outage with the readings near it, the whole minutes to its end and whether that met the target; one not resolved didn't."""
-    keys = ["outage_id", "service_zone_id", "zone_name", "outage_type", "severity", "outage_timestamp", "resolved_timestamp"]
-    found = matches.groupBy(*keys).agg(F.count_distinct("meter_event_id").alias("matched_reading_count"))
+    keys = ["outage_id", "service_zone_id", "zone_name", "outage_event_type", "outage_severity", "outage_event_timestamp", "resolved_timestamp"]
+    found = matches.groupBy(*keys).agg(F.count_distinct("meter_event_id").alias("matched_meter_readings"))
     target = F.lit(OTHER_MINUTES)
     for severity, minutes in SLA_MINUTES.items():
-        target = F.when(F.col("severity") == severity, minutes).otherwise(target)
-    timed = found.withColumn("resolution_minutes", F.timestamp_diff("MINUTE", "outage_timestamp", "resolved_timestamp")).withColumn("sla_target_minutes", target)
-    return timed.withColumn("sla_met", F.when(F.col("resolved_timestamp").isNull(), False).otherwise(F.col("resolution_minutes") <= F.col("sla_target_minutes")))
+        target = F.when(F.col("outage_severity") == severity, minutes).otherwise(target)
+    timed = found.withColumn("actual_duration_minutes", F.timestamp_diff("MINUTE", "outage_event_timestamp", "resolved_timestamp")).withColumn("sla_target_minutes", target)
+    return timed.withColumn("sla_met", F.when(F.col("resolved_timestamp").isNull(), False).otherwise(F.col("actual_duration_minutes") <= F.col("sla_target_minutes")))
 
 
 def customer_360(dimension: DataFrame, readings: DataFrame, billing: DataFrame) -> DataFrame:
@@ -50,14 +50,14 @@ def customer_360(dimension: DataFrame, readings: DataFrame, billing: DataFrame)
     Both sides are aggregated by customer before they are joined, so each join is of one row to one row on the same key.
     """
     water, electric = F.col("meter_type") == "water", F.col("meter_type") == "electric"
-    meters = readings.groupBy("customer_id").agg(F.count_distinct("meter_id").alias("meter_count"), F.count(F.lit(1)).alias("reading_count"), sum_if(water, F.col("usage_value")).alias("total_water_usage"), sum_if(electric, F.col("usage_value")).alias("total_electric_usage"))
+    meters = readings.groupBy("customer_id").agg(F.count_distinct("meter_id").alias("meter_count"), sum_if(water, F.col("usage_value")).alias("water_usage_gallons"), sum_if(electric, F.col("usage_value")).alias("electric_usage_kwh"))
+    month = F.when(F.col("billing_month").isNotNull(), F.struct("billing_month", "bill_id"))  # a bill without a month is never the latest
     bills = billing.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("bill_count"), exact_total(F.col("bill_amount_usd")).alias("total_billed_usd"), exact_total(F.col("usage_gallons")).alias("total_billed_gallons"), F.max_by("payment_status", F.struct("billing_month", "bill_id")).alias("latest_payment_status")
+        exact_total(F.col("usage_gallons")).alias("billed_water_usage_gallons"), exact_total(F.col("bill_amount_usd")).alias("total_bill_amount_usd"), F.max_by("payment_status", month).alias("latest_payment_status")
     )
     joined = dimension.where("is_current").select("customer_id", "customer_name", "segment", "service_zone_id", "account_status").join(meters, "customer_id", "left").join(bills, "customer_id", "left")
-    whole = ["meter_count", "reading_count", "bill_count"]
-    amounts = ["total_water_usage", "total_electric_usage", "total_billed_usd", "total_billed_gallons"]
-    zeros = {c: F.coalesce(c, F.lit(0).cast("long")) for c in whole} | {c: F.coalesce(c, F.lit(0.0)) for c in amounts}
+    amounts = ["water_usage_gallons", "electric_usage_kwh", "billed_water_usage_gallons", "total_bill_amount_usd"]
+    zeros = {"meter_count": F.coalesce("meter_count", F.lit(0).cast("long"))} | {c: F.coalesce(c, F.lit(0.0)) for c in amounts}
     return joined.withColumns(zeros)
 
 

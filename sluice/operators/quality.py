@@ -69,8 +69,8 @@ def parse_meters(bronze: DataFrame) -> DataFrame:
 def parse_outages(bronze: DataFrame) -> DataFrame:
     """Multiplexed raw rows to typed outages; there are no rules for them."""
     rows = _payload(bronze, "outage_events", schemas.OUTAGE)
-    plain = ("outage_id", "meter_id", "customer_id", "service_zone_id", "event_type", "severity", "estimated_duration_minutes")
-    return rows.select("p.event_id", *(F.col(f"p.{c}") for c in plain), event_time(F.col("p.event_timestamp")).alias("outage_timestamp"), event_time(F.col("p.resolved_timestamp")).alias("resolved_timestamp"))
+    plain = ("outage_id", "meter_id", "customer_id", "service_zone_id", "estimated_duration_minutes")
+    return rows.select("p.event_id", *(F.col(f"p.{c}") for c in plain), F.col("p.event_type").alias("outage_event_type"), F.col("p.severity").alias("outage_severity"), event_time(F.col("p.event_timestamp")).alias("outage_event_timestamp"), event_time(F.col("p.resolved_timestamp")).alias("resolved_timestamp"))
 
 
 def parse_cdc(bronze: DataFrame) -> DataFrame:

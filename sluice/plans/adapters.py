@@ -80,10 +80,10 @@ def outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where("event_type = 'error'").select(
         F.concat(F.lit("out_"), F.col("event_id").cast("string")).alias("outage_id"),
         F.col("user_id").cast("string").alias("meter_id"),
-        F.when(k % 2 == 0, "pressure_drop").otherwise("meter_offline").alias("event_type"),
-        severity.alias("severity"),
+        F.when(k % 2 == 0, "pressure_drop").otherwise("meter_offline").alias("outage_event_type"),
+        severity.alias("outage_severity"),
         (k * 3).cast("int").alias("estimated_duration_minutes"),
-        F.col("ts").alias("outage_timestamp"),
+        F.col("ts").alias("outage_event_timestamp"),
         F.when(k % 10 != 9, F.timestamp_add("MINUTE", k * 3, F.col("ts"))).alias("resolved_timestamp"),
     )
 
@@ -136,12 +136,12 @@ SQL = {
         n_nationkey::double AS centroid_latitude, (-n_nationkey)::double AS centroid_longitude
         FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 24)""",
     "zoned": "zoned AS (SELECT r.*, z.* EXCLUDE (zone_id) FROM readings r LEFT JOIN zones z ON r.service_zone_id = z.zone_id)",
-    "outages": """outages AS (SELECT 'out_' || event_id AS outage_id, user_id::varchar AS meter_id, CASE WHEN k % 2 = 0 THEN 'pressure_drop' ELSE 'meter_offline' END AS outage_type,
-        CASE k % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity, (k * 3)::int AS estimated_duration_minutes,
-        ts AS outage_timestamp, CASE WHEN k % 10 <> 9 THEN ts + to_minutes(k * 3) END AS resolved_timestamp FROM ev WHERE event_type = 'error')""",
+    "outages": """outages AS (SELECT 'out_' || event_id AS outage_id, user_id::varchar AS meter_id, CASE WHEN k % 2 = 0 THEN 'pressure_drop' ELSE 'meter_offline' END AS outage_event_type,
+        CASE k % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS outage_severity, (k * 3)::int AS estimated_duration_minutes,
+        ts AS outage_event_timestamp, CASE WHEN k % 10 <> 9 THEN ts + to_minutes(k * 3) END AS resolved_timestamp FROM ev WHERE event_type = 'error')""",
     "matches": """matches AS (SELECT m.event_id AS meter_event_id, m.meter_id, m.customer_id, m.service_zone_id, m.zone_name, m.event_timestamp AS meter_event_timestamp,
-        m.usage_value, m.pressure_psi, o.outage_id, o.outage_type, o.severity, o.outage_timestamp, o.resolved_timestamp, o.estimated_duration_minutes
-        FROM zoned m JOIN outages o ON m.meter_id = o.meter_id AND o.outage_timestamp BETWEEN m.event_timestamp - INTERVAL 6 HOUR AND m.event_timestamp + INTERVAL 6 HOUR)""",
+        m.usage_value, m.pressure_psi, o.outage_id, o.outage_event_type, o.outage_severity, o.outage_event_timestamp, o.resolved_timestamp, o.estimated_duration_minutes
+        FROM zoned m JOIN outages o ON m.meter_id = o.meter_id AND o.outage_event_timestamp BETWEEN m.event_timestamp - INTERVAL 6 HOUR AND m.event_timestamp + INTERVAL 6 HOUR)""",
     "raw": """raw AS (SELECT event_id, CASE WHEN n % 89 <> 0 THEN meter_id END AS meter_id, CASE WHEN n % 127 <> 0 THEN customer_id END AS customer_id,
         CASE WHEN n % 113 <> 0 THEN service_zone_id END AS service_zone_id, CASE WHEN n % 83 <> 0 THEN date_trunc('second', event_timestamp) END AS event_timestamp,
         CASE WHEN n % 97 = 0 THEN -abs(usage_value) - 1 WHEN n % 211 <> 0 THEN usage_value END AS usage_value, CASE WHEN n % 101 = 0 THEN 'gas' ELSE meter_type END AS meter_type,

@@ -39,7 +39,11 @@ def _walls(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A folder of its own in the shared checkpoint folder; machine-local only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sluice-scratch")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = os.path.join(tempfile.gettempdir(), "sluice-scratch")
     return f"{root.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
 
@@ -73,8 +77,9 @@ def _bills(s: SparkSession, d: str) -> DataFrame:
 
 # Gold.
 
-AVERAGE = "round((sum({0}::decimal(18,4))::double / count({0}))::decimal(38,10), 2)::double"
-TOTAL = "round((sum({0}::decimal(18,4))::double)::decimal(38,10), 2)::double"
+# Compensated sums of doubles, so they owe nothing to the engine's decimals.
+AVERAGE = "round(favg({0})::decimal(38,10), 2)::double"
+TOTAL = "round(fsum({0})::decimal(38,10), 2)::double"
 
 
 @query(
@@ -88,8 +93,8 @@ def gold_zone_usage_daily(s, d):
 
 @query(
     """SELECT *, CASE WHEN suspicious_rate_pct >= 20 THEN 'high' WHEN suspicious_rate_pct >= 10 THEN 'medium' ELSE 'low' END AS leak_risk_level FROM (
-    SELECT event_timestamp::date AS usage_date, service_zone_id, zone_name, count(*) AS water_reading_count,
-    sum(CASE WHEN pressure_psi < 40 OR usage_value > 55 THEN 1 ELSE 0 END)::bigint AS suspicious_reading_count,
+    SELECT event_timestamp::date AS usage_date, service_zone_id, zone_name, count(*) AS water_readings,
+    sum(CASE WHEN pressure_psi < 40 OR usage_value > 55 THEN 1 ELSE 0 END)::bigint AS suspicious_readings,
     round((100.0::double * sum(CASE WHEN pressure_psi < 40 OR usage_value > 55 THEN 1 ELSE 0 END)::double / count(*)::double)::decimal(38,10), 2)::double AS suspicious_rate_pct
     FROM zoned WHERE meter_type = 'water' GROUP BY ALL)""",
     "zoned",
@@ -99,9 +104,9 @@ def gold_leak_risk_by_zone(s, d):
 
 
 @query(
-    """SELECT *, CASE WHEN resolved_timestamp IS NULL THEN false ELSE resolution_minutes <= sla_target_minutes END AS sla_met FROM (
-    SELECT outage_id, service_zone_id, zone_name, outage_type, severity, outage_timestamp, resolved_timestamp, count(DISTINCT meter_event_id) AS matched_reading_count,
-    date_sub('minute', outage_timestamp, resolved_timestamp) AS resolution_minutes, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 120 WHEN 'medium' THEN 180 ELSE 240 END::int AS sla_target_minutes
+    """SELECT *, CASE WHEN resolved_timestamp IS NULL THEN false ELSE actual_duration_minutes <= sla_target_minutes END AS sla_met FROM (
+    SELECT outage_id, service_zone_id, zone_name, outage_event_type, outage_severity, outage_event_timestamp, resolved_timestamp, count(DISTINCT meter_event_id) AS matched_meter_readings,
+    date_sub('minute', outage_event_timestamp, resolved_timestamp) AS actual_duration_minutes, CASE outage_severity WHEN 'critical' THEN 60 WHEN 'high' THEN 120 WHEN 'medium' THEN 180 ELSE 240 END::int AS sla_target_minutes
     FROM matches GROUP BY ALL)""",
     "matches",
 )
@@ -110,13 +115,13 @@ def gold_outage_sla(s, d):
 
 
 @query(
-    f"""SELECT c.customer_id, customer_name, segment, service_zone_id, account_status, coalesce(meter_count, 0) AS meter_count, coalesce(reading_count, 0) AS reading_count,
-    coalesce(total_water_usage, 0.0) AS total_water_usage, coalesce(total_electric_usage, 0.0) AS total_electric_usage, coalesce(bill_count, 0) AS bill_count,
-    coalesce(total_billed_usd, 0.0) AS total_billed_usd, coalesce(total_billed_gallons, 0.0) AS total_billed_gallons, latest_payment_status
-    FROM (SELECT * FROM dim WHERE is_current) c LEFT JOIN (SELECT customer_id, count(DISTINCT meter_id) AS meter_count, count(*) AS reading_count,
-      {TOTAL.format("(CASE WHEN meter_type = 'water' THEN usage_value ELSE 0.0::double END)")} AS total_water_usage,
-      {TOTAL.format("(CASE WHEN meter_type = 'electric' THEN usage_value ELSE 0.0::double END)")} AS total_electric_usage FROM readings GROUP BY 1) m ON c.customer_id = m.customer_id
-    LEFT JOIN (SELECT customer_id, count(*) AS bill_count, {TOTAL.format("bill_amount_usd")} AS total_billed_usd, {TOTAL.format("usage_gallons")} AS total_billed_gallons,
+    f"""SELECT c.customer_id, customer_name, segment, service_zone_id, account_status, coalesce(meter_count, 0) AS meter_count,
+    coalesce(water_usage_gallons, 0.0) AS water_usage_gallons, coalesce(electric_usage_kwh, 0.0) AS electric_usage_kwh, 
+    coalesce(total_bill_amount_usd, 0.0) AS total_bill_amount_usd, coalesce(billed_water_usage_gallons, 0.0) AS billed_water_usage_gallons, latest_payment_status
+    FROM (SELECT * FROM dim WHERE is_current) c LEFT JOIN (SELECT customer_id, count(DISTINCT meter_id) AS meter_count,
+      {TOTAL.format("(CASE WHEN meter_type = 'water' THEN usage_value ELSE 0.0::double END)")} AS water_usage_gallons,
+      {TOTAL.format("(CASE WHEN meter_type = 'electric' THEN usage_value ELSE 0.0::double END)")} AS electric_usage_kwh FROM readings GROUP BY 1) m ON c.customer_id = m.customer_id
+    LEFT JOIN (SELECT customer_id, {TOTAL.format("bill_amount_usd")} AS total_bill_amount_usd, {TOTAL.format("usage_gallons")} AS billed_water_usage_gallons,
       arg_max_null(payment_status, {{'m': billing_month, 'b': bill_id}}) AS latest_payment_status FROM bills WHERE quality_error = '' GROUP BY 1) b ON c.customer_id = b.customer_id""",
     "dim",
     "readings",
@@ -316,8 +321,8 @@ def _payloads(s: SparkSession, d: str) -> DataFrame:
     from ..sources.registry import BY_ENTITY
 
     meters = a.raw_readings(s, d).withColumn("_source_file", F.lit("meters"))
-    outages = a.outages(s, d).withColumns({"outage_timestamp": F.date_format("outage_timestamp", a.ISO), "resolved_timestamp": F.date_format("resolved_timestamp", a.ISO)})
-    outages = outages.withColumnRenamed("outage_timestamp", "event_timestamp").withColumn("event_id", F.col("outage_id")).withColumn("_source_file", F.lit("outages"))
+    outages = a.outages(s, d).withColumns({"outage_event_timestamp": F.date_format("outage_event_timestamp", a.ISO), "resolved_timestamp": F.date_format("resolved_timestamp", a.ISO)})
+    outages = outages.withColumnsRenamed({"outage_event_timestamp": "event_timestamp", "outage_event_type": "event_type", "outage_severity": "severity"}).withColumn("event_id", F.col("outage_id")).withColumn("_source_file", F.lit("outages"))
     return multiplex_rows(meters, BY_ENTITY["meter_readings"]).unionByName(multiplex_rows(outages, BY_ENTITY["outage_events"]))
 
 
@@ -327,9 +332,9 @@ def multiplex_json_roundtrip(s, d):
     return _walls(quality.parse_meters(_payloads(s, d)).select(*names))
 
 
-@query("SELECT outage_id, meter_id, severity, estimated_duration_minutes, date_trunc('second', outage_timestamp) AS outage_timestamp, date_trunc('second', resolved_timestamp) AS resolved_timestamp FROM outages", "outages")
+@query("SELECT outage_id, meter_id, outage_severity, estimated_duration_minutes, date_trunc('second', outage_event_timestamp) AS outage_event_timestamp, date_trunc('second', resolved_timestamp) AS resolved_timestamp FROM outages", "outages")
 def multiplex_outages(s, d):
-    return _walls(quality.parse_outages(_payloads(s, d)).select("outage_id", "meter_id", "severity", "estimated_duration_minutes", "outage_timestamp", "resolved_timestamp"))
+    return _walls(quality.parse_outages(_payloads(s, d)).select("outage_id", "meter_id", "outage_severity", "estimated_duration_minutes", "outage_event_timestamp", "resolved_timestamp"))
 
 
 @query("SELECT 'meter_readings' AS source_entity, 'v1' AS schema_version, count(*) AS n FROM raw UNION ALL SELECT 'outage_events', 'v1', count(*) FROM outages", "raw", "outages")
@@ -337,9 +342,9 @@ def multiplex_counts(s, d):
     return _payloads(s, d).groupBy("source_entity", "schema_version").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT 'meter_readings' AS source_entity, coalesce(date_trunc('month', event_timestamp)::date::varchar, '__HIVE_DEFAULT_PARTITION__') AS folder, count(*) AS n FROM raw GROUP BY ALL", "raw")
 def bronze_lineage(s, d):
-    """Multiplexed rows by a stream over JSON files, with the files that they came from; every raw row is taken, dirty ones too."""
+    """Multiplexed rows by a stream over JSON files, by the folders of the files that they came from; every raw row is taken, dirty ones too."""
     from ..sources import bronze, registry, tables
 
     root, source = scratch(s), registry.BY_ENTITY["meter_readings"]
@@ -347,7 +352,7 @@ def bronze_lineage(s, d):
     days.write.partitionBy("ingest_date").json(f"{root}/raw/meter_readings")
     stream = bronze.multiplex_rows(registry.read_stream(s, source, f"{root}/raw"), source)
     tables.append_available(stream, f"{root}/bronze", f"{root}/checkpoint", source_entity=source.entity).awaitTermination()
-    return tables.read_table(s, f"{root}/bronze").groupBy("source_entity", "_source_file").agg(F.count(F.lit(1)).alias("n"))
+    return tables.read_table(s, f"{root}/bronze").groupBy("source_entity", F.regexp_extract("_source_file", "ingest_date=([^/]+)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Change feed. Two versions of the dimension: without and with the changes from 1996 on.
@@ -459,9 +464,9 @@ def max_by_latest(s, d):
     return _bills(s, d).where("customer_id IS NOT NULL AND billing_month IS NOT NULL").groupBy("customer_id").agg(F.max_by("payment_status", F.struct("billing_month", "bill_id")).alias("latest_payment_status"))
 
 
-@query("SELECT outage_id, date_sub('minute', outage_timestamp, resolved_timestamp) AS minutes FROM outages", "outages")
+@query("SELECT outage_id, date_sub('minute', outage_event_timestamp, resolved_timestamp) AS minutes FROM outages", "outages")
 def timestampdiff_minutes(s, d):
-    return a.outages(s, d).select("outage_id", F.timestamp_diff("MINUTE", "outage_timestamp", "resolved_timestamp").alias("minutes"))
+    return a.outages(s, d).select("outage_id", F.timestamp_diff("MINUTE", "outage_event_timestamp", "resolved_timestamp").alias("minutes"))
 
 
 @query("SELECT event_id, coalesce(pressure_psi, 0.0) AS pressure_psi FROM readings", "readings")
@@ -493,6 +498,6 @@ def ordered_sample(s, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("meter_type"), "event_id")).cast("long"))  # over 50 rows
 
 
-@query()
+@query("SELECT * FROM readings WHERE 1 = 0", "readings")
 def ctas_empty_clone(s, d):
-    return layout.empty_clone(a.readings(s, d))
+    return _walls(layout.empty_clone(a.readings(s, d)))

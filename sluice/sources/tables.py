@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +21,15 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 
 def append_available(stream: DataFrame, path: str, checkpoint: str, **fixed: str) -> StreamingQuery:
-    """New rows appended to a table, exactly once."""
+    """New rows appended to a table, exactly once. A batch is computed once, however stateful its plan, and an empty one leaves nothing."""
 
     def each(df: DataFrame, batch_id: int) -> None:
-        if not df.isEmpty():
-            write_batch(df, path, batch_id, **fixed)
+        df = df.persist()
+        try:
+            if not df.isEmpty():
+                write_batch(df, path, batch_id, **fixed)
+        finally:
+            df.unpersist()
 
     return run_available(stream, checkpoint, each)
 
@@ -59,8 +62,20 @@ class Snapshots:
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         return sorted(int(n[9:]) for n in names if n.startswith("manifest="))
 
+    def _claimed(self) -> int:
+        """A version that no other writer has: the one who creates its claim file owns it."""
+        root, fs = self._fs()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs.mkdirs(root)
+        names = [x.getPath().getName() for x in fs.listStatus(root)]
+        version = max((int(n.split("=")[1]) for n in names if n.startswith(("_claim=", "manifest="))), default=-1) + 1
+        while not fs.createNewFile(path(f"{self.path}/_claim={version}")):
+            version += 1
+        return version
+
     def commit(self, df: DataFrame) -> int:
-        version = max(self.versions(), default=-1) + 1
+        """Writes df as the next version. Two writers at once get a version each; a writer that dies leaves a gap that nobody reads."""
+        version = self._claimed()
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
         rows = self.spark.read.parquet(f"{self.path}/v={version}").count()
         line = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("committed_at"), F.lit(rows).cast("long").alias("row_count"))
@@ -68,7 +83,10 @@ class Snapshots:
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = max(self.versions()) if version is None else version
+        versions = self.versions()
+        version = max(versions) if version is None else version
+        if version not in versions:
+            raise ValueError(f"{self.path} has no version {version}")
         return self.spark.read.parquet(f"{self.path}/v={version}")
 
     def history(self) -> DataFrame:
@@ -80,9 +98,20 @@ class Snapshots:
         from ..operators.changefeed import changes, first_version
 
         at = F.lit(self.history().where(F.col("version") == version).first()["committed_at"])
-        if version == 0:
-            return first_version(self.read(0), at)
-        return changes(self.read(version - 1), self.read(version), version, at, key)
+        before = max((v for v in self.versions() if v < version), default=None)
+        if before is None:
+            return first_version(self.read(version), at, version)
+        return changes(self.read(before), self.read(version), version, at, key)
+
+    def feed_stream(self, key: tuple[str, ...] = ()) -> DataFrame:
+        """The feed as a stream: a first run reads the first version as inserts and then each version's changes, later runs what was committed since. A version's changes are written once, under feed/commit=<n>, when somebody first asks for them."""
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for version in self.versions():
+            folder = f"{self.path}/feed/commit={version}"
+            if not self._fs()[1].exists(jvm.Path(f"{folder}/_SUCCESS")):
+                self.feed(version, key).write.mode("overwrite").parquet(folder)
+        schema = self.spark.read.parquet(f"{self.path}/feed/commit={min(self.versions())}").schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.path}/feed/commit=*")
 
 
 def create_namespace(spark: SparkSession, name: str) -> None:
@@ -93,12 +122,17 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def _text(value: str) -> str:
+    """value as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def set_properties(spark: SparkSession, name: str, **properties: str) -> None:
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({', '.join(f'{json.dumps(k)}={json.dumps(v)}' for k, v in properties.items())})".replace('"', "'"))
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({', '.join(f'{_text(k)}={_text(v)}' for k, v in properties.items())})")
 
 
 def property_of(spark: SparkSession, name: str, key: str) -> str:
-    return spark.sql(f"SHOW TBLPROPERTIES {name} ('{key}')").first()["value"]
+    return spark.sql(f"SHOW TBLPROPERTIES {name} ({_text(key)})").first()["value"]
 
 
 def tables_in(spark: SparkSession, namespace: str) -> DataFrame:
@@ -115,6 +149,12 @@ def declare_clustering(spark: SparkSession, name: str, *columns: str) -> None:
     spark.sql(f"ALTER TABLE {name} CLUSTER BY ({', '.join(columns)})")
 
 
+def row_statistics(spark: SparkSession, name: str) -> int | None:
+    """The row count that ANALYZE noted, None where there is none."""
+    stats = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Statistics'").first()
+    return int(stats["data_type"].split(", ")[1].split()[0]) if stats and "," in stats["data_type"] else None
+
+
 def analyze(spark: SparkSession, name: str) -> None:
     """Column statistics for the planner; scans skip by the files' own."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")

@@ -32,13 +32,13 @@ def enforce_quality(marked: DataFrame, out: str, good: str, bad: str, figures: s
     """Valid rows, quarantined rows and a row of metrics from each micro-batch, which is computed once and written idempotently."""
 
     def each(df: DataFrame, batch_id: int) -> None:
-        if df.isEmpty():
-            return
         df = df.persist()
         try:
+            if df.isEmpty():
+                return
             write_batch(valid(df, "raw_payload"), f"{out}/{good}", batch_id)
             write_batch(quarantined(df), f"{out}/{bad}", batch_id)
-            row = metrics(df).select(F.lit(batch_id).cast("long").alias("source_batch"), F.current_timestamp().alias("processed_at"), "*")
+            row = metrics(df).select(F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("processed_at"), "*")
             write_batch(row, f"{out}/{figures}", batch_id)
         finally:
             df.unpersist()

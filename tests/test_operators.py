@@ -117,17 +117,17 @@ def test_joins(spark):
     zoned = enrich.with_zones(readings, zones)
     assert {r.event_id: r.zone_name for r in zoned.collect()} == {"e1": "Z", "e2": None}
     at = [hours(-6), hours(6), hours(6) + dt.timedelta(seconds=1)]
-    outages = spark.createDataFrame([(f"o{i}", "m", "leak", "high", 5, t, None) for i, t in enumerate(at)], "outage_id string, meter_id string, event_type string, severity string, estimated_duration_minutes int, outage_timestamp timestamp, resolved_timestamp timestamp")
+    outages = spark.createDataFrame([(f"o{i}", "m", "leak", "high", 5, t, None) for i, t in enumerate(at)], "outage_id string, meter_id string, outage_event_type string, outage_severity string, estimated_duration_minutes int, outage_event_timestamp timestamp, resolved_timestamp timestamp")
     for f in (enrich.match_outages, enrich.match_outages_bucketed):
         assert sorted(r.outage_id for r in f(zoned, outages).collect()) == ["o0", "o1"]
 
 
 def test_sla(spark):
-    kind = "outage_id string, service_zone_id string, zone_name string, outage_type string, severity string, outage_timestamp timestamp, resolved_timestamp timestamp, meter_event_id string"
+    kind = "outage_id string, service_zone_id string, zone_name string, outage_event_type string, outage_severity string, outage_event_timestamp timestamp, resolved_timestamp timestamp, meter_event_id string"
     end = lambda m, s=0: T0 + dt.timedelta(minutes=m, seconds=s)
     rows = [("a", "critical", end(60)), ("b", "high", None), ("c", "low", end(240, 59)), ("d", "medium", end(181))]
     got = gold.outage_sla(spark.createDataFrame([(i, "z", "Z", "t", s, T0, e, "r") for i, s, e in rows], kind)).collect()
-    assert {r.outage_id: (r.resolution_minutes, r.sla_met) for r in got} == {"a": (60, True), "b": (None, False), "c": (240, True), "d": (181, False)}
+    assert {r.outage_id: (r.actual_duration_minutes, r.sla_met) for r in got} == {"a": (60, True), "b": (None, False), "c": (240, True), "d": (181, False)}
 
 
 def test_leak_levels(spark):
@@ -143,7 +143,7 @@ def test_customer_without_anything(spark):
     readings = spark.createDataFrame([], "customer_id string, meter_id string, meter_type string, usage_value double")
     bills = spark.createDataFrame([], "customer_id string, bill_amount_usd double, usage_gallons double, payment_status string, billing_month date, bill_id string")
     (row,) = gold.customer_360(dimension, readings, bills).collect()
-    assert (row.customer_id, row.meter_count, row.total_billed_usd, row.latest_payment_status) == ("c", 0, 0.0, None)
+    assert (row.customer_id, row.meter_count, row.total_bill_amount_usd, row.latest_payment_status) == ("c", 0, 0.0, None)
 
 
 def test_times(spark):
