@@ -10,9 +10,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import aside, cut, partitions
 
 ROUNDS = 6
+#: Columns that shard_rows adds.
+MADE = ("row_number", "shard", "slot")
 #: Steps of the walk. The domain a * b has fewer than a points beyond n: to 256 rows a is 16 at most, so 16 steps always suffice; beyond, a point stays outside for 16 steps with a chance under (1 / 16) ** 16, and number_shards then raises an error.
 WALK = 16
 
@@ -60,9 +62,10 @@ def permuted(x: Column, n: int, seed: int) -> Column:
 def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 7) -> DataFrame:
     """df (narrow columns, see row_numbers) with row_number, shard and slot.
 
-    A row's place p is its row number under permuted(); shard is p mod shards and slot is p div shards. So shard counts differ by one at most, slots are gapless from 0, and anyone who knows the row count, the seed and a row number can compute shard and slot. The result depends on the rows and the seed only, not on how they are partitioned. Null keys are numbered first; repeated rows get a place each; an empty table gives an empty result.
+    A row's place p is its row number under permuted(); shard is p mod shards and slot is p div shards. So shard counts differ by one at most, slots are gapless from 0, and anyone who knows the row count, the seed and a row number can compute shard and slot. The result depends on the rows and the seed only, not on how they are partitioned. Null keys are numbered first; repeated rows get a place each; an empty table gives an empty result. Columns of df with these names, in any case, are replaced; they may still be among order. None may begin with two underscores.
     """
-    numbered = row_numbers(df, order)
+    df, names = aside(df, MADE)
+    numbered = row_numbers(df, [names.get(c, c) for c in order])
     n = numbered.count()
     place = numbered.withColumn("__place", permuted(F.col("row_number"), n, seed))
-    return place.withColumn("shard", F.pmod(F.col("__place"), F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("__place") / F.lit(shards)).cast("long")).drop("__place")
+    return place.withColumn("shard", F.pmod(F.col("__place"), F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("__place") / F.lit(shards)).cast("long")).drop("__place", *names.values())

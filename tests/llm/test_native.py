@@ -138,3 +138,18 @@ def test_op1_shards_and_slots(spark):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sorted(r.row_number for r in got) == list(range(len(got)))
     assert [r.doc_id for r in sorted(got, key=lambda r: r.row_number)] == sorted(r.doc_id for r in got)
+
+
+def test_shards_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(i, f"s{i}", "x", i % 5) for i in range(50)], "doc_id long, SHARD string, slot string, row_number int")
+    plain = sharding.shard_rows(df.select("doc_id"), ["doc_id"], 8)
+    got = sharding.shard_rows(df, ["doc_id"], 8)
+    assert got.columns == plain.columns
+    assert Counter(got.collect()) == Counter(plain.collect())
+
+
+def test_long_chats(spark):
+    text = "word <|end|> " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat.chat_digest(chat.format_chats(df)).first()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())

@@ -277,3 +277,28 @@ def test_recall_on_the_small_tables(spark):
     got = {r.doc_id: r.n_links for r in queries.op9_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
     assert all(n <= want[i] for i, n in got.items())
     assert sum(got.values()) >= 0.99 * sum(want.values()) > 0
+
+
+ODD = [(1, None, "en", "a", 0), (1, None, "en", "a", 0), (None, "", None, None, None), (2, " \n", "en", "a", 2), (3, "one two", "en", "a", 7), (3, "one two", "en", "a", 7), (None, "one  two", "en", "b", 8), (4, "w " * 200_000, "en", "b", 400_000)]
+
+
+@pytest.mark.parametrize("k", range(5))
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_take_odd_rows(spark, k, rows):
+    """Nulls, blanks, repeated rows and ids, a very long text, columns that clash with those made, no rows at all."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kind).selectExpr("*", "'own' AS score", "'own' AS kept", "'own' AS leaks", "'own' AS class_id", "'own' AS n_tokens")
+    got = stage(spark, docs, SF)
+    found = got.collect()
+    if k < 4:
+        assert got.columns == docs.columns
+        assert all(r.score == r.kept == r.leaks == r.class_id == r.n_tokens == "own" for r in found)
+        assert not Counter(found) - Counter(docs.collect())
+    want = {1: 3, 2: 6, 3: len(rows), 4: len(rows)}  # texts that differ in more than white space; classes and rows without words; clean rows; all rows
+    if rows and k in want:
+        assert len(found) == want[k], name
+    if not rows:
+        assert not found
