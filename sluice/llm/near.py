@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash banding, then exact verification.
+"""N-gram Jaccard join: MinHash prefixes by tree, then exact verification.
 
 Rows become vertices by their sequence of words: rows of equal words are one vertex with a count, so copies are never paired.
 """
@@ -6,6 +6,7 @@ Rows become vertices by their sequence of words: rows of equal words are one ver
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +16,22 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, mix, partitions, shingles, stream, words
 
-TREES, LONGEST, RECALL = 16, 6, 0.999
+TREES, LONGEST, RECALL = 17, 6, 0.9998
 #: Members and bytes of shingles that a block holds, and columns of shingles that are multiplied at once.
 BLOCK, BYTES, WIDTH = 512, 8 << 20, 4096
 
 
-def shortest(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """How far matched prefixes must be shortened: the longest prefix by which a pair of this similarity meets in some tree with probability recall."""
-    for d in range(longest, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def depths(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> list[int]:
+    """The length of each tree's prefixes: all begin at longest, and one tree after the other is shortened by a value until a pair of this similarity meets in some tree with probability recall (or all prefixes are of one value).
+
+    Rows and their matches have no say in it: a tree that is shortened because a row met nobody there, or not because it met somebody, would make what is missed depend on what is sought.
+    """
+    found = [longest] * trees
+    for k in range(trees * (longest - 1)):
+        if 1 - math.prod(1 - threshold**d for d in found) >= recall:
+            break
+        found[k % trees] -= 1
+    return found
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -45,7 +51,7 @@ def _identity(text: str) -> bytes:
     return hashlib.blake2b(b" ".join(text.encode().split()), digest_size=16).digest()
 
 
-def _sketches(trees: int, longest: int, size: int):
+def _sketches(values: int, size: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids = batch.column(0)
@@ -58,8 +64,8 @@ def _sketches(trees: int, longest: int, size: int):
                     at = np.append(offsets[:-1][full], offsets[-1])
                     grams, where = shingles(hashes, at, size)
                     size_of[full] = np.diff(where)
-                    found = signatures(grams, where, trees * longest).astype(">u2").tobytes()
-                    row = trees * longest * 2
+                    found = signatures(grams, where, values).astype(">u2").tobytes()
+                    row = values * 2
                     for i, r in enumerate(full.tolist()):
                         vid[r] = _identity(texts[r].as_py())
                         labels[r] = found[row * i : row * i + row]
@@ -196,19 +202,18 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
 
     Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes, common.digests; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words (128 bits of a cryptographic hash), itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
 
-    1. Signatures of trees x longest MinHash values; each tree is a band. Rows are grouped once by the first values of each band, of one length for all rows: the longest by which a pair at the threshold meets in some band with probability recall; this is the only loss. No trie is walked: every pair that a longer prefix joins is joined by this one too, and a walk that stops at a longer match would miss links.
+    1. Prefixes of MinHash values, one for each tree, of the lengths that depths gives; rows are grouped by tree and prefix, and what depths allows to miss is the only loss. Only values that are read are computed. No trie is walked row by row: a walk that stops at a row's longer match would miss links that meet by a shorter one.
     2. Members of a bucket of equal prefixes all get its least member as a centre: linear in the bucket, and two members of any bucket share a centre.
     3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
     """
+    lengths = depths(threshold, trees, longest, recall)
     base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sketched = cut(arrow_map(base, _sketches(trees, longest, size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
+    sketched = cut(arrow_map(base, _sketches(sum(lengths), size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
     blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
-    # Bands at the length to which prefixes must be shortened, the same for all rows; the values after it aren't read.
-    d = shortest(threshold, trees, longest, recall)
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = vertices.select("vid", "labels", tree.alias("tree")).select("vid", "tree", F.expr(f"substring(labels, tree * {2 * longest} + 1, {2 * d})").alias("prefix"))
+    prefixes = [F.struct(F.lit(k).alias("tree"), F.expr(f"substring(labels, {2 * sum(lengths[:k]) + 1}, {2 * d})").alias("prefix")) for k, d in enumerate(lengths)]
+    rows = vertices.select("vid", F.inline(F.array(*prefixes)))
     met = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("centre")).where("m > 1").drop("m"))
     stars = cut(rows.join(met, ["tree", "prefix"]).select("centre", "vid").distinct())
 

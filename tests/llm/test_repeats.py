@@ -171,8 +171,26 @@ def test_components(spark):
 
 
 def test_recall():
-    assert near.shortest(0.8) == 4
-    assert 1 - (1 - 0.8**4) ** near.TREES > 0.999
+    found = near.depths(0.8)
+    reached = 1 - np.prod([1 - 0.8**d for d in found])
+    assert len(found) == near.TREES and set(found) == {4, 5} and reached >= near.RECALL > 0.999
+    assert 1 - np.prod([1 - 0.8**d for d in [*found[: found.index(5) - 1], *[5] * (near.TREES - found.index(5) + 1)]]) < near.RECALL  # a prefix less shortened isn't enough
+    assert near.depths(1.0) == [near.LONGEST] * near.TREES and near.depths(0.01, recall=1) == [1] * near.TREES
+
+
+def test_pairs_at_the_threshold_meet(spark):
+    """Pairs of a similarity just above the threshold, each pair apart from all others."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(600):
+        words = [f"{k}-{j}" for j in range(104)]  # 100 shingles
+        changed = list(words)
+        for at in (20, 60):
+            changed[at] = f"{k}-changed-{rng.random()}"
+        texts += [" ".join(words), " ".join(changed)]  # 90 shared of 110
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near.jaccard_join(df)
+    assert got.where("n_links = 1 and class_id = doc_id - doc_id % 2").count() >= 1198
 
 
 def test_op9_against_all_pairs(spark):
