@@ -168,9 +168,8 @@ def _compared(stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     The side of a join that has one row for each key is written first, so adaptive execution finds plain shuffles on both sides and can split a hot centre. Members of a centre are dealt into blocks, and each pair of blocks is a unit of its own, so a centre with any number of members is spread over tasks that each hold two blocks. A pair that shares several centres counts at the least one.
     """
     spark = stars.sparkSession
-    named = stars.select(F.xxhash64("centre").alias("centre"), "vid")
-    of = named.groupBy("vid").agg(F.collect_set("centre").alias("centres"))  # one for each tree and length at most
-    members = cut(named.distinct().join(sets.select("vid", "copies", F.length("grams").alias("bytes")), "vid"))
+    of = stars.groupBy("vid").agg(F.collect_set("centre").alias("centres"))  # one for each tree at most
+    members = cut(stars.join(sets.select("vid", "copies", F.length("grams").alias("bytes")), "vid"))
     blocks = cut(members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks")).where("n > 1"))
     placed = members.join(blocks, "centre").select("centre", "vid", "blocks", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("blocks").cast("long")).cast("int").alias("block"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
@@ -203,7 +202,7 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes, common.digests; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words (128 bits of a cryptographic hash), itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
 
     1. Prefixes of MinHash values, one for each tree, of the lengths that depths gives; rows are grouped by tree and prefix, and what depths allows to miss is the only loss. Only values that are read are computed. No trie is walked row by row: a walk that stops at a row's longer match would miss links that meet by a shorter one.
-    2. Members of a bucket of equal prefixes all get its least member as a centre: linear in the bucket, and two members of any bucket share a centre.
+    2. Members of a bucket of equal prefixes all get its least member, by hash, as a centre: linear in the bucket, and two members of any bucket share a centre.
     3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
     """
     lengths = depths(threshold, trees, longest, recall)
@@ -212,10 +211,11 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
-    prefixes = [F.struct(F.lit(k).alias("tree"), F.expr(f"substring(labels, {2 * sum(lengths[:k]) + 1}, {2 * d})").alias("prefix")) for k, d in enumerate(lengths)]
-    rows = vertices.select("vid", F.inline(F.array(*prefixes)))
-    met = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("vid").alias("centre")).where("m > 1").drop("m"))
-    stars = cut(rows.join(met, ["tree", "prefix"]).select("centre", "vid").distinct())
+    # Buckets and centres are named by 64-bit hashes: two that share a name only have more pairs compared.
+    names = [F.xxhash64(F.lit(k), F.expr(f"substring(labels, {2 * sum(lengths[:k]) + 1}, {2 * d})")) for k, d in enumerate(lengths)]
+    rows = vertices.select("vid", F.explode(F.array(*names)).alias("bucket"))
+    met = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("vid")).alias("centre")).where("m > 1").drop("m"))
+    stars = cut(rows.join(met, "bucket").select("centre", "vid").distinct())
 
     wanted = cut(stars.select("vid").distinct().join(vertices.select("vid", F.col("least").alias("id"), "copies"), "vid"))
     texts = base.join(wanted.select("id").distinct(), base["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
