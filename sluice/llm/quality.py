@@ -21,13 +21,15 @@ def statistics(text: Column) -> dict[str, Column]:
     """What rules look at, computed from the whole text alone; all are 0 or more and defined for empty texts (null is empty)."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
-    count = lambda s: (F.length(text) - F.length(F.replace(text, F.lit(s)))) / F.lit(len(s))
+    # What is counted is little of most texts, so what isn't counted goes once, before each count reads the text.
+    rest = F.translate(text, "abcdefghijklmnopqrstuvwxyz \n", "")
+    count = lambda s: F.length(rest) - F.length(F.translate(rest, s, ""))  # noqa: E731  (all of the characters of s)
     words = F.split(F.trim(text), r"\s+")
     lines = F.split(text, "\n")
     n_words = F.size(words)
-    capital = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", ""))
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
-    symbols = F.length(text) - F.length(F.translate(text, "#$%&*@^~=+_<>{}[]\\/", ""))
+    capital = count("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ")
+    digits = count("0123456789")
+    symbols = count("#$%&*@^~=+_<>{}[]\\/")
     return {
         "chars": F.length(text).cast("double"),
         "words": n_words.cast("double"),
@@ -175,8 +177,8 @@ def score(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     docs, names = aside(docs, MADE)
     text, others = names.get(text, text), [c for c in docs.columns if c not in names.values()]
     found = statistics(F.col(text))
-    # Always true, but the planner can't know: it would else copy each statistic into every rule, and again into filters on the score.
-    packed = docs.withColumn("__stats", F.when(F.rand(0) >= 0, F.struct(*(c.alias(k) for k, c in found.items()))))
+    # The number keeps the planner from copying each statistic into every rule, and again into filters on the score: it moves nothing that isn't deterministic. Outside of conditions, statistics share what they have in common.
+    packed = docs.withColumn("__stats", F.struct(*(c.alias(k) for k, c in found.items()), F.monotonically_increasing_id().alias("row")))
     open_ = packed.select(*docs.columns, *(F.col(f"__stats.{k}").alias(f"__{k}") for k in found))
     own = Rules(rules.base, tuple(Rule(tuple((f"__{n}", a, b) for n, a, b in r.terms), r.weight) for r in rules.rules))
     scored = open_.withColumn("__score", own.score())
