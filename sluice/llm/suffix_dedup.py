@@ -23,8 +23,8 @@ SPAN, SHARD = 1 << 19, 1 << 19
 HOT = 1 << 23
 #: Stretches whose strings are hashed at once.
 ROWS = 512
-#: Places of a table by which documents that have something to fetch are told from most others: 1 MB, whatever the input.
-SLOTS = 1 << 23
+#: Bits, for each document that has something to fetch, of the table by which most others are left aside, and the most that the table may have: 32 MB.
+BITS, MOST = 16, 1 << 28
 
 
 _BYTE = stream(1, 256)
@@ -175,13 +175,17 @@ def _sort(length: int, held: int):
 
 
 def _slots(df: DataFrame):
-    """A table of SLOTS bits, by aggregation: which slots hold some row's (id, print)."""
-    slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS))
+    """A table of bits, by aggregation, that says which slots hold some row's (id, print), and the slot of a row.
+
+    It grows with the rows of df (one for each document; df is cut) up to MOST: with a sixteenth of that many rows it lets a sixteenth of other documents pass, with as many as MOST two thirds. Those find nothing in the join behind it.
+    """
+    slots = min(MOST, max(1 << 16, 1 << (BITS * df.count() - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("id", "print"), F.lit(slots))
     rows = df.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    table = np.zeros(SLOTS // 8, np.uint8)
-    for r in rows:  # SLOTS / 32768 rows of 4 KB at most; both functions count from 1
+    table = np.zeros(slots // 8, np.uint8)
+    for r in rows:  # slots / 32768 rows of 4 KB at most; both functions count from 1
         table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(table)
+    return df.sparkSession.sparkContext.broadcast(table), slot.alias("slot")
 
 
 def _some(sent, yes: bool):
@@ -222,8 +226,8 @@ def _documents_of(df: DataFrame, text: str, id_col: str) -> DataFrame:
 def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, print, text, wanted) for documents that hold a stretch of rows: wanted has all of theirs, as many as a document has stretches."""
     wanted = cut(rows.groupBy("id", "print").agg(F.collect_list(F.struct("i", "j", "anchor", "n")).alias("wanted")))
-    slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
-    some = arrow_map(docs.select("id", "print", "text", slot), _some(_slots(wanted), True), "id long, print long, text string")
+    sent, slot = _slots(wanted)
+    some = arrow_map(docs.select("id", "print", "text", slot), _some(sent, True), "id long, print long, text string")
     same = some["id"].eqNullSafe(wanted["id"]) & (some["print"] == wanted["print"])
     return some.join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
 
@@ -289,8 +293,7 @@ def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", le
     """
     docs = _documents_of(df, text, id_col)
     spans = cut(repeated_spans(docs, length, held, hot))
-    sent = _slots(spans)
-    slot = F.pmod(F.xxhash64("id", "print"), F.lit(SLOTS)).alias("slot")
+    sent, slot = _slots(spans)
     dealt = docs.select("id", "print", "text", slot)
     kind = "id long, print long, text string"
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import near, queries, suffix_dedup, suffixes
+from sluice.llm import common, near, queries, suffix_dedup, suffixes
 
 SF = "/root/testdata/sf0.001"
 
@@ -320,3 +320,16 @@ def test_stages_take_odd_rows(spark, k, rows):
         assert len(found) == want[k], name
     if not rows:
         assert not found
+
+
+def test_table_of_slots_grows(spark, monkeypatch):
+    """The table's size changes what passes it, not the result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = common.cut(docs.selectExpr("doc_id AS id", "xxhash64(text) AS print"))
+    assert len(suffix_dedup._slots(rows)[0].value) == (1 << 16) // 8
+    monkeypatch.setattr(suffix_dedup, "BITS", 1 << 12)
+    assert len(suffix_dedup._slots(rows)[0].value) * 8 == 1 << 20
+    want = sorted(suffix_dedup.remove_repeats(docs).drop("kept").collect())
+    monkeypatch.setattr(suffix_dedup, "MOST", 1 << 16)
+    assert len(suffix_dedup._slots(rows)[0].value) * 8 == 1 << 16
+    assert sorted(suffix_dedup.remove_repeats(docs).drop("kept").collect()) == want
