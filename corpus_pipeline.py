@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, decontaminate, exact_dedup, near, quality
-from sluice.llm.common import aside, cut, shared_folder, table
+from sluice.llm.common import aside, cut, scratch, shared_folder, table
 from sluice.llm.queries import RANKS
 
 
@@ -53,12 +53,13 @@ STAGES = [("quality classifier", keep_good), ("exact dedup", drop_copies), ("n-g
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again as the next one's input. A stage's input goes once its output is written whole; the last output stays, as the result is read from it."""
+    """All stages over the documents, each written to the shared folder and read again as the next one's input. A stage's input and checkpoints go once its output is written whole; the last output stays, as the result is read from it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}"), True)

@@ -7,6 +7,8 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -73,10 +75,49 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir().get()
 
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; its lineage ends there."""
+    """df, computed once and kept in the shared checkpoint folder until drop or scratch deletes it; its lineage ends there."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return _noted(df.checkpoint())
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if (made := _made.get()) is not None:
+        made.append(df)
+    return df
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the checkpoints that cut made of frames. Only for what nothing reads any more: what follows from it must be cut or written, so that a lost executor's work starts from there."""
+    for df in frames:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at the end, all checkpoints that were made within: by then, what was made of them must be written or settled."""
+    made: list[DataFrame] = []
+    before = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        drop(*made)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, cut; the checkpoints that it made on the way are deleted."""
+    with scratch():
+        out = make()
+        shared_folder(out.sparkSession)
+        out = out.checkpoint()
+    return _noted(out)
 
 
 def aside(df: DataFrame, made: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, aside, cut
+from .common import arrow_map, aside, cut, drop
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
@@ -48,7 +48,9 @@ def boilerplate(df: DataFrame, text: str = "text", site: str = "source", sites:
     far = spread.where(F.col("estimate") > sites * (1 + margin)).select("line")
     # Distinct first, on the map side too, so a hot line brings one row a site to the join.
     exact = lines.distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line")
-    return cut(far.unionByName(exact))
+    found = cut(far.unionByName(exact))
+    drop(spread)
+    return found
 
 
 def _without(gone, at: int, names: list[str]):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, mix, partitions, shingles, stream, words
+from .common import arrow_map, cut, drop, mix, partitions, settled, shingles, stream, words
 
 TREES, LONGEST, RECALL = 17, 6, 0.9998
 #: Members and bytes of shingles that a block holds, and columns of shingles that are multiplied at once.
@@ -185,30 +185,20 @@ def components(edges: DataFrame) -> DataFrame:
     Labels are lowered to the least among neighbours and then to the label's own label, until none changes; each round is checkpointed. Nothing is gathered: a hot vertex is aggregated on the map side and its join can be split.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    labels = before = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
     while True:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("w")).agg(F.min("root").alias("m"))
         lower = labels.join(near, F.col("v") == F.col("w")).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         of = labels.select(F.col("v").alias("up"), F.col("root").alias("top"))
         new = cut(lower.join(of, F.col("root") == F.col("up"), "left").select("v", "old", F.least("root", F.coalesce("top", "root")).alias("root")))
-        labels = new.select("v", "root")
+        drop(before)
+        labels, before = new.select("v", "root"), new
         if new.where("old != root").isEmpty():
             return labels
 
 
-def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, threshold: float = 0.8, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
-    """One row per row of df: id_col, class_id, n_links, n_copies.
-
-    Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes, common.digests; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words (128 bits of a cryptographic hash), itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
-
-    1. Prefixes of MinHash values, one for each tree, of the lengths that depths gives; rows are grouped by tree and prefix, and what depths allows to miss is the only loss. Only values that are read are computed. No trie is walked row by row: a walk that stops at a row's longer match would miss links that meet by a shorter one.
-    2. Members of a bucket of equal prefixes all get its least member, by hash, as a centre: linear in the bucket, and two members of any bucket share a centre.
-    3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
-    """
-    lengths = depths(threshold, trees, longest, recall)
-    base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sketched = cut(arrow_map(base, _sketches(sum(lengths), size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
-    blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+def _counted(base: DataFrame, sketched: DataFrame, lengths: list[int], size: int, threshold: float) -> DataFrame:
+    """(vid, root, least, n_copies, n_links) for each vertex: root names its component, least is its least id."""
     vertices = cut(sketched.where("vid IS NOT NULL").groupBy("vid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
 
     # Buckets and centres are named by 64-bit hashes: two that share a name only have more pairs compared.
@@ -216,17 +206,36 @@ def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size
     rows = vertices.select("vid", F.explode(F.array(*names)).alias("bucket"))
     met = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("vid")).alias("centre")).where("m > 1").drop("m"))
     stars = cut(rows.join(met, "bucket").select("centre", "vid").distinct())
+    drop(met)
 
     wanted = cut(stars.select("vid").distinct().join(vertices.select("vid", F.col("least").alias("id"), "copies"), "vid"))
     texts = base.join(wanted.select("id").distinct(), base["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     sets = arrow_map(texts, _shingle_sets(size), "vid binary, grams binary").dropDuplicates(["vid"])
     sets = cut(sets.join(wanted.select("vid", "copies"), "vid"))
-    found = cut(_compared(stars, sets, threshold))
+    drop(wanted)
+    found = settled(lambda: _compared(stars, sets, threshold))
+    drop(stars, sets)
 
     linked = found.groupBy("vid").agg(F.sum("weight").alias("linked"))
     roots = components(found.select(F.col("vid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "vid")
     counted = vertices.select("vid", "least", "copies").join(roots, "vid", "left").join(linked, "vid", "left")
-    counted = cut(counted.select("vid", F.coalesce("root", "vid").alias("root"), "least", F.col("copies").alias("n_copies"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")))
+    return counted.select("vid", F.coalesce("root", "vid").alias("root"), "least", F.col("copies").alias("n_copies"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+
+
+def jaccard_join(df: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, threshold: float = 0.8, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
+    """One row per row of df: id_col, class_id, n_links, n_copies.
+
+    Two rows are linked if the Jaccard similarity of their sets of size-word shingles (64-bit hashes, common.digests; words are split at ASCII white space; a text of fewer words is one shingle) is threshold or more. class_id is the least id in the row's connected component of links, n_links the number of other rows linked to it, n_copies the number of rows with the same words (128 bits of a cryptographic hash), itself included. Rows without words (null, empty, blank) link to nothing: class_id is their own id, n_links 0, n_copies 1. Repeated rows and ids are rows like others; a null id is greater than all others. Columns besides the two are ignored.
+
+    1. Prefixes of MinHash values, one for each tree, of the lengths that depths gives; rows are grouped by tree and prefix, and what depths allows to miss is the only loss. Only values that are read are computed. No trie is walked row by row: a walk that stops at a row's longer match would miss links that meet by a shorter one.
+    2. Members of a bucket of equal prefixes all get its least member, by hash, as a centre: linear in the bucket, and two members of any bucket share a centre.
+    3. All pairs that share a centre are compared exactly, in blocks and in memory; what leaves a task is a row for each member, not for each pair. The work, not the rows, grows with the square of a group of similar but different texts.
+    """
+    lengths = depths(threshold, trees, longest, recall)
+    base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    sketched = cut(arrow_map(base, _sketches(sum(lengths), size), f"id {df.schema[id_col].dataType.simpleString()}, vid binary, labels binary, grams long"))
+    blank = sketched.where("vid IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    counted = settled(lambda: _counted(base, sketched, lengths, size, threshold))
     classes = cut(counted.groupBy("root").agg(F.min("least").alias("class_id")))
     result = counted.join(classes, "root").select("vid", "class_id", "n_links", "n_copies")
     out = sketched.where("vid IS NOT NULL").select("id", "vid").join(result, "vid").select("id", "class_id", "n_links", "n_copies")

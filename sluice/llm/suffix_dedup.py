@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, digests, mix, partitions, stream, text_bytes
+from .common import arrow_map, cut, digests, mix, partitions, settled, stream, text_bytes
 from .suffixes import HELD, repeated
 
 LENGTH, ANCHOR = 200, 32
@@ -292,7 +292,7 @@ def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", le
     A byte goes if a string of length bytes that covers it also starts anywhere else, in another row or in the same one; strings are compared as UTF-8 bytes, overlap freely and never cross rows. n_spans counts maximal removed runs, kept (binary) is what remains, concatenated; it need not be valid UTF-8. null and empty texts have no bytes. Repeated rows repeat each other, so nothing of them that is long enough stays. id_col is a number, not necessarily unique: rows are told apart by it and the text. Other columns are ignored.
     """
     docs = _documents_of(df, text, id_col)
-    spans = cut(repeated_spans(docs, length, held, hot))
+    spans = settled(lambda: repeated_spans(docs, length, held, hot))
     sent, slot = _slots(spans)
     dealt = docs.select("id", "print", "text", slot)
     kind = "id long, print long, text string"

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -322,6 +323,41 @@ def test_stages_take_odd_rows(spark, k, rows):
         assert not found
 
 
+def _files(spark):
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    return {p.name for p in folder.glob("rdd-*")}
+
+
+def test_checkpoints_go(spark):
+    """A result's own stay, all others go; within scratch all go, also where it fails."""
+    df = spark.range(10)
+    one = common.cut(df)
+    before = _files(spark)
+    with common.scratch():
+        two = common.cut(df)
+        three = common.settled(lambda: common.cut(two).union(common.cut(two)))
+        assert len(_files(spark) - before) == 2 and three.count() == 20
+    with pytest.raises(ZeroDivisionError), common.scratch():
+        common.cut(df)
+        1 / 0  # noqa: B018
+    assert _files(spark) == before and one.count() == 10
+    common.drop(one)
+    common.drop(one)
+    assert len(before - _files(spark)) == 1
+
+
+def test_results_outlive_their_checkpoints(spark):
+    """Only what a result is read from is left, and the pipeline leaves nothing but its output."""
+    import corpus_pipeline
+
+    common.shared_folder(spark)
+    for make, most in ((queries.op9_jaccard_join, 3), (queries.op7_suffix_dedup, 1), (queries.op5_line_dedup, 1), (corpus_pipeline.run, 0)):
+        before = _files(spark)
+        got = make(spark, SF)
+        assert len(_files(spark) - before) <= most
+        assert got.count() == got.count() > 0
+
+
 def test_table_of_slots_grows(spark, monkeypatch):
     """The table's size changes what passes it, not the result."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
