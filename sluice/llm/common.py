@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Whitespace of the word splitter: the six ASCII white-space characters.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -21,6 +22,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPAN = 1 << 20
 #: Bytes of rows that a Python worker gets and works on at once; a longer row is a batch of its own.
 BATCH = 4 << 20
+#: Bits of the table of sifted for each row that is sought, and the most that it may have: 32 MB.
+BITS, MOST = 16, 1 << 28
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -120,6 +123,21 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return _noted(out)
 
 
+def sifted(df: DataFrame, these: DataFrame, *keys: str) -> DataFrame:
+    """df with __marked: true where the row's keys, nulls too, are among those of these (cut), and in a few other rows. df isn't shuffled.
+
+    The keys of these are hashed to a table of bits, by aggregation, whose rows of 4 KB are broadcast. It grows with the rows of these up to MOST bits: up to a sixteenth of MOST rows it marks a sixteenth of other rows at most, with as many as MOST two thirds. So a join must follow that decides; it is spared the other rows.
+    """
+    places = min(MOST, max(1 << 16, 1 << (BITS * these.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(places)) + 1  # the functions count from 1
+    rows = these.select(place.alias("__place"))
+    table = rows.groupBy(F.bitmap_bucket_number("__place").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
+    own = df.withColumn("__place", place)
+    joined = own.join(F.broadcast(cut(table)), F.bitmap_bucket_number("__place") == F.col("__bucket"), "left")
+    bit = "shiftright(cast(conv(hex(substring(__bits, cast(bitmap_bit_position(__place) div 8 + 1 as int), 1)), 16, 10) as int), cast(bitmap_bit_position(__place) % 8 as int)) & 1 = 1"
+    return joined.select(*df.columns, F.coalesce(F.expr(bit), F.lit(False)).alias("__marked"))
+
+
 def aside(df: DataFrame, made: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns that are named, in any case, like one of made under reserved names, and these by the old names; df itself where there are none."""
     taken = {m.lower() for m in made}

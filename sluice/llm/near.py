@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, drop, mix, partitions, settled, shingles, stream, words
+from .common import arrow_map, cut, drop, mix, partitions, settled, shingles, sifted, stream, words
 
 TREES, LONGEST, RECALL = 17, 6, 0.9998
 #: Members and bytes of shingles that a block holds, and columns of shingles that are multiplied at once.
@@ -209,7 +209,7 @@ def _counted(base: DataFrame, sketched: DataFrame, lengths: list[int], size: int
     drop(met)
 
     wanted = cut(stars.select("vid").distinct().join(vertices.select("vid", F.col("least").alias("id"), "copies"), "vid"))
-    texts = base.join(wanted.select("id").distinct(), base["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+    texts = sifted(base, wanted, "id").where("__marked").select("text")  # sets are shuffled, texts aren't
     sets = arrow_map(texts, _shingle_sets(size), "vid binary, grams binary").dropDuplicates(["vid"])
     sets = cut(sets.join(wanted.select("vid", "copies"), "vid"))
     drop(wanted)
