@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, digests, mix, partitions, settled, stream, text_bytes
+from .common import arrow_map, cut, digests, mix, partitions, settled, sifted, stream, text_bytes
 from .suffixes import HELD, repeated
 
 LENGTH, ANCHOR = 200, 32
@@ -23,8 +23,6 @@ SPAN, SHARD = 1 << 19, 1 << 19
 HOT = 1 << 23
 #: Stretches whose strings are hashed at once.
 ROWS = 512
-#: Bits, for each document that has something to fetch, of the table by which most others are left aside, and the most that the table may have: 32 MB.
-BITS, MOST = 16, 1 << 28
 
 
 _BYTE = stream(1, 256)
@@ -174,41 +172,6 @@ def _sort(length: int, held: int):
     return run
 
 
-def _slots(df: DataFrame):
-    """A table of bits, by aggregation, that says which slots hold some row's (id, print), and the slot of a row.
-
-    It grows with the rows of df (one for each document; df is cut) up to MOST: with a sixteenth of that many rows it lets a sixteenth of other documents pass, with as many as MOST two thirds. Those find nothing in the join behind it.
-    """
-    slots = min(MOST, max(1 << 16, 1 << (BITS * df.count() - 1).bit_length()))
-    slot = F.pmod(F.xxhash64("id", "print"), F.lit(slots))
-    rows = df.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    table = np.zeros(slots // 8, np.uint8)
-    for r in rows:  # slots / 32768 rows of 4 KB at most; both functions count from 1
-        table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(table), slot.alias("slot")
-
-
-def _some(sent, yes: bool):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in it:
-            slot = np.asarray(batch.column(3), np.int64)
-            keep = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == yes
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:3]], ["id", "print", "text"])
-
-    return run
-
-
-def _untouched(sent):
-    """What _some leaves aside, with its figures, in one pass."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _some(sent, False)(it):
-            yield from _digests(iter([batch.select([0, 2])]))
-
-    return run
-
-
 def _spans(spans: list) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -226,8 +189,7 @@ def _documents_of(df: DataFrame, text: str, id_col: str) -> DataFrame:
 def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, print, text, wanted) for documents that hold a stretch of rows: wanted has all of theirs, as many as a document has stretches."""
     wanted = cut(rows.groupBy("id", "print").agg(F.collect_list(F.struct("i", "j", "anchor", "n")).alias("wanted")))
-    sent, slot = _slots(wanted)
-    some = arrow_map(docs.select("id", "print", "text", slot), _some(sent, True), "id long, print long, text string")
+    some = sifted(docs, wanted, "id", "print").where("__marked")
     same = some["id"].eqNullSafe(wanted["id"]) & (some["print"] == wanted["print"])
     return some.join(wanted, same).select(wanted["id"], wanted["print"], "text", "wanted")
 
@@ -293,12 +255,10 @@ def remove_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", le
     """
     docs = _documents_of(df, text, id_col)
     spans = settled(lambda: repeated_spans(docs, length, held, hot))
-    sent, slot = _slots(spans)
-    dealt = docs.select("id", "print", "text", slot)
-    kind = "id long, print long, text string"
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    clean = arrow_map(dealt, _untouched(sent), schema)
-    some = arrow_map(dealt, _some(sent, True), kind)
+    dealt = sifted(docs, spans, "id", "print")
+    clean = arrow_map(dealt.where("NOT __marked").select("id", "text"), _digests, schema)
+    some = dealt.where("__marked")
     same = some["id"].eqNullSafe(spans["id"]) & (some["print"] == spans["print"])
     touched = arrow_map(some.join(spans, same, "left").select(some["id"], "text", "spans"), _digests, schema)
     return clean.unionByName(touched).withColumnRenamed("id", id_col)

@@ -351,21 +351,32 @@ def test_results_outlive_their_checkpoints(spark):
     import corpus_pipeline
 
     common.shared_folder(spark)
-    for make, most in ((queries.op9_jaccard_join, 3), (queries.op7_suffix_dedup, 1), (queries.op5_line_dedup, 1), (corpus_pipeline.run, 0)):
+    for make, most in ((queries.op9_jaccard_join, 3), (queries.op7_suffix_dedup, 2), (queries.op5_line_dedup, 1), (corpus_pipeline.run, 0)):
         before = _files(spark)
         got = make(spark, SF)
         assert len(_files(spark) - before) <= most
         assert got.count() == got.count() > 0
 
 
-def test_table_of_slots_grows(spark, monkeypatch):
-    """The table's size changes what passes it, not the result."""
+def test_sifted_rows(spark, monkeypatch):
+    """All rows sought are marked and few others, whatever their keys; a full table marks more."""
+    df = spark.range(40_000).selectExpr("IF(id = 7, NULL, struct(id AS a, IF(id % 3 = 0, NULL, id) AS b)) AS key", "id % 100 = 7 AS sought", "id")
+    these = common.cut(df.where("sought"))
+    marked = lambda: {r.id for r in common.sifted(df, these, "key").where("__marked").select("id").collect()}
+    want, found = set(range(7, 40_000, 100)), marked()
+    assert want <= found and len(found) < 40_000 / 16
+    monkeypatch.setattr(common, "BITS", 1 << 14)
+    assert marked() == want or len(marked()) < len(found)
+    assert common.sifted(df, common.cut(these.limit(0)), "key").where("__marked").isEmpty()
+    monkeypatch.setattr(common, "MOST", 1 << 16)
+    assert want <= marked()
+
+
+def test_full_tables_of_bits_change_no_result(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = common.cut(docs.selectExpr("doc_id AS id", "xxhash64(text) AS print"))
-    assert len(suffix_dedup._slots(rows)[0].value) == (1 << 16) // 8
-    monkeypatch.setattr(suffix_dedup, "BITS", 1 << 12)
-    assert len(suffix_dedup._slots(rows)[0].value) * 8 == 1 << 20
-    want = sorted(suffix_dedup.remove_repeats(docs).drop("kept").collect())
-    monkeypatch.setattr(suffix_dedup, "MOST", 1 << 16)
-    assert len(suffix_dedup._slots(rows)[0].value) * 8 == 1 << 16
-    assert sorted(suffix_dedup.remove_repeats(docs).drop("kept").collect()) == want
+    results = lambda: [sorted(map(repr, f(docs).collect())) for f in (suffix_dedup.remove_repeats, near.jaccard_join)]
+    want = results()
+    full = lambda df, these, *keys: df.withColumn("__marked", F.lit(True))
+    monkeypatch.setattr(suffix_dedup, "sifted", full)
+    monkeypatch.setattr(near, "sifted", full)
+    assert results() == want
