@@ -42,11 +42,11 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
 
 
-def _anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts that share an anchor: first and last start, the anchor's hash, and 128 bits of hash of the whole stretch with the anchor's place in it. ends: for each byte, where its document ends."""
+def _anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int, lanes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Runs of string starts that share an anchor: first and last start, the anchor's hash, and 64 bits a lane of hash of the whole stretch with the anchor's place in it. ends: for each byte, where its document ends."""
     n = len(data)
     none = np.zeros(0, np.int64)
-    nothing = (none, none, *([none.astype(np.uint64)] * 3))
+    nothing = (none, none, *([none.astype(np.uint64)] * (1 + len(lanes))))
     if n < length:
         return nothing
     grams = _grams(data, k)
@@ -70,10 +70,10 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[n
     last = np.append(first[1:], len(valid)) - 1
     i, j, at = valid[first], valid[last], at[first]
     place = mix(((at - i) << 32 | (j - i)).astype(np.uint64))
-    return i, j, grams[at], *(mix(digests(data, i, j + length, lane) + place) for lane in (0, 1))
+    return i, j, grams[at], *(mix(digests(data, i, j + length, lane) + place) for lane in lanes)
 
 
-def _documents(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _documents(data: np.ndarray, offsets: np.ndarray, length: int, k: int, lanes: tuple[int, ...] = (0, 1)) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, first and last start, anchor and stretch, over spans of documents; a longer document is taken in spans that overlap."""
     lo, rows = 0, len(offsets) - 1
     while lo < rows:
@@ -82,13 +82,25 @@ def _documents(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> It
         for a in range(begin, max(begin + 1, end - length + 1), SPAN - length + 1) if hi == lo + 1 else (begin,):
             b = min(end, a + SPAN) if hi == lo + 1 else end
             row = np.repeat(np.arange(lo, hi), np.diff(np.clip(offsets[lo : hi + 1], a, b)))
-            i, j, *hashes = _anchors(data[a:b], np.minimum(offsets[row + 1], b) - a, length, k)
+            i, j, *hashes = _anchors(data[a:b], np.minimum(offsets[row + 1], b) - a, length, k, lanes)
             if len(i):
                 own = row[i]
                 yield own, i + a - offsets[own], j + a - offsets[own], *hashes
         lo = hi
 
 
+def _counts(length: int, k: int):
+    """Texts to their anchors, with the number of stretches of each in a span of text; nothing else is hashed."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for _, _, _, anchors in _documents(*text_bytes(batch.column(0)), length, k, ()):
+                found, n = np.unique(anchors, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    return run
+
+
 def _find(length: int, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -205,7 +217,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, hot:
     """
     spark = docs.sparkSession
     found = arrow_map(docs, _find(length, min(ANCHOR, length)), "id long, print long, i int, j int, anchor long, stretch long, twin long")
-    several = cut(found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor"))
+    each = arrow_map(docs.select("text"), _counts(length, min(ANCHOR, length)), "anchor long, n long")
+    several = cut(each.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"))
     met = cut(found.join(several, "anchor"))
     one = [F.first(c).alias(c) for c in ("id", "print", "i", "j")]  # of one row: all see the same rows in the same order
     same = ["anchor", "stretch", "twin"]
