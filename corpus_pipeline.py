@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, decontaminate, exact_dedup, near, quality
-from sluice.llm.common import aside, cut, scratch, shared_folder, table
+from sluice.llm.common import aside, cut, lighten, scratch, shared_folder, table
 from sluice.llm.queries import RANKS
 
 
@@ -19,17 +20,31 @@ def _chosen(docs: DataFrame, made: tuple[str, ...], stage, condition) -> DataFra
     return stage(own).where(condition).select(*(F.col(names[c]).alias(c) if c in names else c for c in docs.columns))
 
 
+def _light(stage):
+    """stage, begun with executors' heaps collected: they hold on to what the stage before took, and here Python workers come on top."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lighten(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_light
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of those here."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
     return _chosen(docs, quality.MADE, lambda own: quality.score(own, rules), "predicted = 1")
 
 
+@_light
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return _chosen(docs, exact_dedup.MADE, exact_dedup.exact_dedup, "kept")
 
 
+@_light
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one of the least id (a null id last); rows are told apart by a number, so ids may be null or repeated."""
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
@@ -39,11 +54,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
+@_light
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     return _chosen(docs, decontaminate.MADE, lambda own: decontaminate.find_leaks(own, table(spark, sf_dir, "benchmark")), F.size("leaks") == 0)
 
 
+@_light
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, with digests of the ids and of what they decode to."""
     return bpe.digest(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=True).drop("text")

@@ -68,6 +68,15 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(bounded, schema)
 
 
+def lighten(spark: SparkSession) -> None:
+    """Has executors collect their heaps: what earlier work grew them to goes back to the system. A task for each core, so every executor that is idle gets one; a JVM told to ignore System.gc() keeps its heap.
+
+    Python workers come on top of the heap. So do, in the system's books, the processes by which Hadoop sets each new file's mode on local disks where its native library is missing: until they run their own program, all of the heap counts as theirs too.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set on a local master, as in tests. Checkpoints go there too."""
     context, named = spark.sparkContext._jsc.sc(), spark.conf.get("spark.checkpoint.dir", None)

@@ -380,3 +380,16 @@ def test_full_tables_of_bits_change_no_result(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "sifted", full)
     monkeypatch.setattr(near, "sifted", full)
     assert results() == want
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_begin_with_heaps_collected(spark, k):
+    """Else an executor holds on to the heap of the stage before while Python workers start beside it."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep"))]  # those that collect all of the heap
+    before = sum(b.getCollectionCount() for b in whole)
+    corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    assert whole and sum(b.getCollectionCount() for b in whole) > before
